@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import lookalikes, near_duplicates, packing, splitting, tokenizing
+from . import boilerplate, lookalikes, mojibake, near_duplicates, packing, scans, splitting, tokenizing
 
 
 def setting(spark: SparkSession, d: str, name: str) -> int:
@@ -42,6 +42,32 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces(spark, d).drop("over").dropDuplicates(["chunk_id", "piece"])
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.affected(read(spark, d, "results"))
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored(read(spark, d, "results"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noisy(scans.repaired(read(spark, d, "results"))).select("result_id")
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(read(spark, d, "results"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = boilerplate.web_pages(read(spark, d, "results"), read(spark, d, "sources"))
+    return boilerplate.main_content(pages).select("result_id", F.explode("dropped").cast("long").alias("line_no")).distinct()
+
+
+def p6_main(spark: SparkSession, d: str) -> DataFrame:
+    pages = boilerplate.web_pages(read(spark, d, "results"), read(spark, d, "sources"))
+    return boilerplate.main_content(pages).select("result_id", "main").dropDuplicates(["result_id"])
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizing.token_ids(read(spark, d, "documents"))
 
@@ -54,5 +80,5 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "size", setting(spark, d, "containertokens"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_canonical, p3_found, p3_pieces, p7_ids, p8_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_canonical, p3_found, p3_pieces, p4_found, p4_restored, p5_found, p5_repaired, p6_found, p6_main, p7_ids, p8_containers)}
 ORACLE: dict[str, str] = {}
