@@ -60,7 +60,7 @@ def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pages = boilerplate.web_pages(read(spark, d, "results"), read(spark, d, "sources"))
-    return boilerplate.main_content(pages).select("result_id", F.explode("dropped").cast("long").alias("line_no")).distinct()
+    return boilerplate.main_content(pages).select("result_id", F.explode("dropped").alias("line_no")).select("result_id", F.col("line_no").cast("long")).distinct()
 
 
 def p6_main(spark: SparkSession, d: str) -> DataFrame:
