@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import boilerplate, lookalikes, mojibake, near_duplicates, packing, scans, splitting, tokenizing
+from . import abuse, boilerplate, lookalikes, mojibake, near_duplicates, packing, scans, splitting, tokenizing
 
 
 def setting(spark: SparkSession, d: str, name: str) -> int:
@@ -80,5 +80,17 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "size", setting(spark, d, "containertokens"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_canonical, p3_found, p3_pieces, p4_found, p4_restored, p5_found, p5_repaired, p6_found, p6_main, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scored(read(spark, d, "documents"), read(spark, d, "abuse_examples"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(read(spark, d, "documents"), p9_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_canonical, p3_found, p3_pieces, p4_found, p4_restored, p5_found, p5_repaired, p6_found, p6_main, p7_ids, p8_containers, p9_found, p9_scores, p9_rates)}
 ORACLE: dict[str, str] = {}
