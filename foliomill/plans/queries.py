@@ -72,7 +72,7 @@ def file_types(s, d):
     return read(s, d, "sources").groupBy("source_path").agg(F.count("*").alias("n")).select("source_path", "n", M.file_type(x).alias("detected"), M.coarse_type(x).alias("coarse"))
 
 
-@query(f"SELECT source_id, array_to_string(list_sort(list_distinct(list_filter(generate_series(1, total_pages), lambda p: len(list_filter(string_split(regexp_replace(coalesce(page_range, ''), '\\s', '', 'g'), ','), lambda x: regexp_full_match(x, '[0-9]+(-[0-9]+)?') AND p BETWEEN least(string_split(x, '-')[1]::HUGEINT, list_last(string_split(x, '-'))::HUGEINT) AND greatest(string_split(x, '-')[1]::HUGEINT, list_last(string_split(x, '-'))::HUGEINT))) > 0 OR regexp_replace(coalesce(page_range, ''), '\\s', '', 'g') = ''))), ',') AS pages FROM {SRC} WHERE total_pages IS NOT NULL")
+@query(f"SELECT source_id, array_to_string(list_sort(list_distinct(list_filter(generate_series(1, total_pages), lambda p: len(list_filter(string_split(regexp_replace(coalesce(page_range, ''), '\\s', '', 'g'), ','), lambda x: regexp_full_match(x, '[0-9]+(-[0-9]+)?') AND p BETWEEN least(try_cast(string_split(x, '-')[1] AS HUGEINT), try_cast(list_last(string_split(x, '-')) AS HUGEINT)) AND greatest(try_cast(string_split(x, '-')[1] AS HUGEINT), try_cast(list_last(string_split(x, '-')) AS HUGEINT)))) > 0 OR regexp_replace(coalesce(page_range, ''), '\\s', '', 'g') = ''))), ',') AS pages FROM {SRC} WHERE total_pages IS NOT NULL")
 def page_selection(s, d):
     x = sources(s, d).where("total_pages IS NOT NULL")
     return x.select("source_id", as_text(pages.selected(F.col("page_range"), F.col("total_pages"))).alias("pages"))
