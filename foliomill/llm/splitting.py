@@ -76,7 +76,11 @@ class Pages:
 
     def __init__(self, data: bytes, pages: int):
         self.feeds = [m.start() for m in PAGE.finditer(data)]
-        self.n, self.pages = len(data), max(pages, 1)
+        self.data, self.n, self.pages = data, len(data), max(pages, 1)
+
+    def last(self, end: int) -> int:
+        """Page of the last character before end."""
+        return self(char_start(self.data, end - 1))
 
     def __call__(self, at: int) -> int:
         seen = bisect_left(self.feeds, at)
@@ -102,10 +106,13 @@ def pieces(data: bytes | None, start_page: int | None, end_page: int | None, lim
     out = []
     for a, b in merged(data, page, limit, overlap, page_limit):
         begin = front(data, a, overlap)
-        while begin < a and page(b - 1) - page(begin) >= page_limit:
+        while begin < a and page.last(b) - page(begin) >= page_limit:
             begin = min((f + 1 for f in page.feeds if f >= begin), default=a) if any(begin <= f < a for f in page.feeds) else a
-        out.append([low + page(begin), low + page(b - 1), begin, b])
-    out[0][0], out[-1][1] = low, max(out[-1][1], min(low + pages - 1, out[-1][0] + page_limit - 1))
+        out.append([low + page(begin), low + max(page(begin), page.last(b)), begin, b])
+    out[0][0] = min(out[0][0], low)
+    out[-1][1] = max(out[-1][1], min(low + pages - 1, out[-1][0] + page_limit - 1))
+    while out[-1][1] < low + pages - 1:  # pages that have no bytes
+        out.append([out[-1][1] + 1, min(out[-1][1] + page_limit, low + pages - 1), len(data), len(data)])
     return pages, True, [tuple(x) for x in out]
 
 
@@ -113,7 +120,8 @@ def merged(data: bytes, page: Pages, limit: int, overlap: int, page_limit: int)
     """(start, end) of the pieces of data, without their overlaps. Every piece fits in limit bytes together with up to
     overlap bytes in front, and touches at most page_limit pages."""
     room = max(1, limit - overlap)
-    ends, strength = atoms(data, min(CELL, room))
+    # An atom may not lie on more pages than a piece, either.
+    ends, strength = atoms(data, max(1, min(CELL, room, len(data) * page_limit // page.pages)))
     n = len(ends)
     start, end = [0, *ends[:-1]], list(ends)
     left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
@@ -125,7 +133,7 @@ def merged(data: bytes, page: Pages, limit: int, overlap: int, page_limit: int)
         j = right[i]
         if not alive[i] or j >= n or end[i] != ei or end[j] != ej:
             continue
-        if size > (room if start[i] else limit) or page(ej - 1) - page(start[i]) >= page_limit:
+        if size > (room if start[i] else limit) or page.last(ej) - page(start[i]) >= page_limit:
             continue
         end[i], edge[i], alive[j], right[i] = ej, edge[j], False, right[j]
         if right[j] < n:
