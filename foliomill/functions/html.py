@@ -107,8 +107,8 @@ def media(html: Column) -> Column:
         return F.filter(F.transform(whole, one), lambda x: x["src"].isNotNull())
 
     every = F.concat(images, tags("video"), tags("audio"))
-    sources = F.transform(every, lambda x: x["src"])
-    return F.filter(every, lambda x, k: F.array_position(sources, x["src"]) == k + 1)
+    none = F.expr("cast(array() as array<struct<src: string, kind: string, tag: string, poster: string>>)")
+    return F.aggregate(every, none, lambda acc, x: F.when(F.exists(acc, lambda y: y["src"] == x["src"]), acc).otherwise(F.array_append(acc, x)))
 
 
 def statistics(html: Column, words: Column) -> dict[str, Column]:

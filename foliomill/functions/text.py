@@ -34,8 +34,7 @@ def garble_warning(founder: Column, rare: Column, total: Column, least: float =
 
 def word_count(markdown: Column) -> Column:
     """Words between white space once Markdown's signs are taken out."""
-    t = strip(F.regexp_replace(F.regexp_replace(markdown, r"[#*`_\[\](){}|>!-]", ""), f"{SPACE}+", " "))
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
+    return F.regexp_count(F.translate(markdown, "#*`_[](){}|>!-", ""), F.lit(SPACE.replace("[", "[^", 1) + "+"))
 
 
 def strip_data_images(markdown: Column) -> Column:
@@ -60,6 +59,20 @@ def mask(key: Column) -> Column:
     return F.when(F.coalesce(F.length(key), F.lit(0)) < 8, "***").otherwise(F.concat(F.substring(key, 1, 4), F.lit("..."), F.right(key, F.lit(4))))
 
 
+def rewrite_media(markdown: Column, local: Column, stem: Column) -> Column:
+    """Media addresses of a service (the map's keys) as {stem}_media/{last part of the local path}, blanks encoded: in src
+    attributes and in Markdown references, whose titles stay."""
+    def one(acc: Column, e: Column) -> Column:
+        rel = F.replace(F.concat(stem, F.lit("_media/"), F.element_at(F.split(e["value"], "/"), -1)), F.lit(" "), F.lit("%20"))
+        quoted = F.concat(F.lit("\\Q"), F.replace(e["key"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        safe = F.replace(F.replace(rel, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+        acc = F.replace(acc, F.concat(F.lit('src="'), e["key"], F.lit('"')), F.concat(F.lit('src="'), rel, F.lit('"')))
+        acc = F.regexp_replace(acc, F.concat(F.lit(r"\]\(\s*"), quoted, F.lit(r"""\s+["']([^"']*)["']\s*\)""")), F.concat(F.lit("]("), safe, F.lit(' "$1")')))
+        return F.regexp_replace(acc, F.concat(F.lit(r"\]\(\s*"), quoted, F.lit(r"\s*\)")), F.concat(F.lit("]("), safe, F.lit(")")))
+
+    return F.aggregate(F.map_entries(local), markdown, one)
+
+
 def display_source(source: Column) -> Column:
     return F.when(source.rlike("^https?://"), "<remote-url>").otherwise(F.element_at(F.split(source, "/"), -1))
 
@@ -124,7 +137,8 @@ def longest_overlap(tail: Column, head: Column, window: int = 100, least: int =
     """Length of the longest end of tail (its last window characters) that head (its first) begins with, least at least; else 0."""
     t, h = F.right(tail, F.lit(window)), F.left(head, F.lit(window))
     sizes = F.filter(F.sequence(F.lit(window), F.lit(least), F.lit(-1)), lambda n: (n <= F.length(t)) & (n <= F.length(h)) & (F.right(t, n) == F.left(h, n)))
-    return F.coalesce(F.get(sizes, F.lit(0)), F.lit(0))
+    # Without head's first least characters in tail there is nothing to try.
+    return F.when(F.contains(t, F.left(h, F.lit(least))), F.coalesce(F.get(sizes, F.lit(0)), F.lit(0))).otherwise(0)
 
 
 def merge_overlapping(parts: Column, window: int = 100, least: int = 11) -> Column:

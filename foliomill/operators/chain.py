@@ -86,6 +86,15 @@ def next_credential(credentials: Column, failed: Column, cursor: Column) -> Colu
     return F.get(F.filter(turned, lambda c: ~F.array_contains(failed, c)), F.lit(0))
 
 
+def legacy_provider(wanted: Column, office: Column, program: Column) -> Column:
+    """Which converter takes old formats: the one named, by any of its names; with auto the installed office (office says
+    whether there is one), else the program if its path is set; null if there is none."""
+    w = F.lower(F.trim(F.coalesce(wanted, F.lit("auto"))))
+    path = F.coalesce(F.trim(program), F.lit("")) != ""
+    named = F.when(w.isin("com", "office", "office-com", "msoffice"), "office").when(w.isin("libreoffice", "soffice", "lo"), "libreoffice")
+    return F.coalesce(named, F.when(F.coalesce(office, F.lit(False)), "office").when(path, "libreoffice"))
+
+
 def within_limits(pages: Column, size_bytes: Column, has_token: Column) -> Column:
     """Why a PDF is refused by the cloud service, null if it is not: 10 MB and 20 pages without a token, 200 and 200 with one."""
     mb, most = F.when(has_token, 200).otherwise(10), F.when(has_token, 200).otherwise(20)

@@ -92,3 +92,19 @@ def readable(rows: DataFrame, key: str, order: str, name: str, text: str) -> Dat
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n"), F.coalesce(F.col(text), F.lit("")).alias("t"))))
     many = F.array_join(F.transform("_p", lambda x: F.concat(F.lit("## "), x["n"], F.lit("\n\n"), x["t"])), "\n\n")
     return rows.groupBy(key).agg(parts.alias("_p")).select(key, F.when(F.size("_p") == 1, F.col("_p")[0]["t"]).otherwise(many).alias("text"))
+
+
+def path_block(name: Column, state: Column, error: Column, fields: dict[str, Column]) -> Column:
+    """One file's paths as JSON; keys without a value are left out."""
+    return F.to_json(F.struct(name.alias("name"), state.alias("status"), error.alias("error"), *(c.alias(k) for k, c in fields.items())))
+
+
+def error_envelope(name: Column, message: Column, code: Column, causes: Column) -> Column:
+    """An error and its causes, the nearest first, as JSON."""
+    return F.to_json(F.struct(F.lit(False).alias("ok"), F.struct(name.alias("name"), message.alias("message"), code.alias("code"), causes.alias("causes")).alias("error")))
+
+
+def unresolved(paths: Column, found: Column) -> Column:
+    """How many media have no usable path: those given, blank ones aside, less those found."""
+    some = F.filter(F.coalesce(paths, F.array().cast("array<string>")), lambda p: F.trim(F.coalesce(p, F.lit(""))) != "")
+    return F.greatest(F.size(some) - F.size(found), F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -454,3 +455,124 @@ def unchunked_images(s, d):
     first = read(s, d, "chunks").groupBy("source_id").agg(F.min("start_page").alias("from_page"))
     img = read(s, d, "page_images").select("source_id", "page", "xref").distinct()
     return img.join(first.where("from_page IS NOT NULL"), (img["source_id"] == first["source_id"]) & (first["from_page"] <= img["page"]), "left_anti")
+
+
+WORDS = "list_filter(list_transform(string_split(regexp_replace(t, '[^A-Za-z ]', '', 'g'), ' '), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def word_lines(s, d, per: int = 12):
+    """Each document's Latin words, per to a line."""
+    w = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " "), lambda x: x != "")
+    x = read(s, d, "documents").where("text IS NOT NULL").select("doc_id", w.alias("w"))
+    return x.select("doc_id", F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("w") / per).cast("int") - 1, F.lit(0))), lambda k: F.array_join(F.slice("w", k * per + 1, F.lit(per)), " ")).alias("lines"))
+
+
+LINES = f"list_transform(generate_series(0, greatest(ceil(len(w) / 12.0)::INT - 1, 0)), lambda k: array_to_string(w[k * 12 + 1:k * 12 + 12], ' ')) AS lines FROM (SELECT doc_id, {WORDS} AS w FROM (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL))"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_prepend('# ' || doc_id || '.docx', list_filter(list_transform(list_zip(lines, generate_series(1, len(lines))), lambda x: CASE WHEN list_position(lines, x[1]) = x[2] THEN x[1] ELSE '' END), lambda x: x <> '')), chr(10) || chr(10)) AS markdown FROM (SELECT doc_id, {LINES})""")
+def docx_extract(s, d):
+    from ..sources.files import documents
+    from .fixtures import files
+
+    out = documents(files(word_lines(s, d), "doc_id", "lines", "docx"))
+    return out.select(F.regexp_extract("path", r"(\d+)\.", 1).cast("bigint").alias("doc_id"), "markdown")
+
+
+@query(f"""SELECT doc_id, '# ' || doc_id || '.pptx' || chr(10) || chr(10) || array_to_string(list_transform(lines, lambda x, k: '## Slide ' || k || CASE WHEN x = '' THEN '' ELSE chr(10) || chr(10) || x END), chr(10) || chr(10)) AS markdown FROM (SELECT doc_id, {LINES})""")
+def pptx_extract(s, d):
+    from ..sources.files import documents
+    from .fixtures import files
+
+    out = documents(files(word_lines(s, d), "doc_id", "lines", "pptx"))
+    return out.select(F.regexp_extract("path", r"(\d+)\.", 1).cast("bigint").alias("doc_id"), "markdown")
+
+
+@query()
+def html_markdown(s, d):
+    """Pages derived from all sources as Markdown; checked by tests, as the dialect is the converter's own."""
+    from ..formats.html_markdown import convert
+
+    @F.pandas_udf("string")
+    def run(page: pd.Series) -> pd.Series:
+        return page.map(convert)
+
+    return derived_pages(s, d).select("source_id", run("html").alias("markdown"))
+
+
+REWRITE = "concat('![c](imgs/', s.source_id, ' x.png \"t\") <img src=\"imgs/', s.source_id, ' x.png\"> ![d]( imgs/', s.source_id, ' x.png )')"
+
+
+@query(f"""SELECT source_id, '![c](a%20b_media/image_' || source_id || '.png "t") <img src="a%20b_media/image_' || source_id || '.png"> ![d](a%20b_media/image_' || source_id || '.png)' AS rewritten FROM {SRC}""")
+def media_rewrite(s, d):
+    x = sources(s, d).alias("s")
+    m = F.create_map(F.concat(F.lit("imgs/"), F.col("source_id"), F.lit(" x.png")), F.concat(F.lit("/out/image_"), F.col("source_id"), F.lit(".png")))
+    return x.select("source_id", T.rewrite_media(F.expr(REWRITE), m, F.lit("a b")).alias("rewritten"))
+
+
+@query("""WITH m AS (SELECT DISTINCT source_id, xref FROM page_images), r AS (SELECT source_id, xref, min(page) AS p FROM page_images WHERE page % 2 = 0 GROUP BY 1, 2) SELECT source_id, xref, row_number() OVER (PARTITION BY source_id ORDER BY p NULLS LAST, xref)::INT AS place FROM m LEFT JOIN r USING (source_id, xref)""")
+def media_by_reference(s, d):
+    x = read(s, d, "page_images")
+    return media.by_reference(x.select("source_id", "xref").distinct(), x.where("page % 2 = 0").select("source_id", "xref", "page"), ["source_id", "xref"], "page", "xref").select("source_id", "xref", "place")
+
+
+@query("SELECT source_id, source_path, size_bytes FROM (SELECT DISTINCT source_id, source_path, size_bytes FROM sources) WHERE NOT coalesce(" + SUFFIX.format("source_path") + " IN ('pdf', 'html') AND size_bytes < 200000, false)")
+def small_previews(s, d):
+    """Leaves out small files of two types, as previews of formulas are left out."""
+    x = read(s, d, "sources").select("source_id", "source_path", "size_bytes").distinct()
+    x = x.withColumn("ext", F.when(M.suffix(F.col("source_path")).isin("pdf", "html"), ".WMF").otherwise("png"))
+    return media.without_previews(x, "ext", "size_bytes", 200000).drop("ext")
+
+
+@query("""SELECT o.o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 AND c.c_custkey IS NOT NULL THEN '$x_{' || c.c_nationkey || '}$' WHEN o_orderkey % 5 = 0 THEN '![formula](p' || o_orderkey || '.png)' ELSE '' END AS text FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_orderkey""")
+def formula_or_preview(s, d):
+    o = read(s, d, "orders").select(F.col("o_orderkey").alias("id"))
+    f = read(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.concat(F.lit("x_{"), F.col("c_nationkey"), F.lit("}")).alias("latex"))
+    p = o.where("id % 5 = 0").select("id", F.concat(F.lit("p"), F.col("id"), F.lit(".png")).alias("preview"))
+    return media.formula_or_preview(o, f, p, ["id"]).select("id", "text")
+
+
+@query(f"""SELECT result_id, coalesce(file_type, 'x') || CASE WHEN len(coalesce(media_paths, [])) > 0 THEN chr(10) || '媒体路径: ' || array_to_string(media_paths, ', ') ELSE '' END || CASE WHEN len(coalesce(warnings, [])) > 0 THEN chr(10) || chr(10) || '⚠️ 警告:' || chr(10) || array_to_string(list_transform(warnings, lambda w: '- ' || w), chr(10)) ELSE '' END AS payload FROM {RES}""")
+def agent_payload(s, d):
+    none = F.array().cast("array<string>")
+    return results(s, d).select("result_id", report.agent_text(F.coalesce("file_type", F.lit("x")), F.lit(""), F.coalesce("media_paths", none), F.coalesce("warnings", none)).alias("payload"))
+
+
+@query(f"""SELECT result_id, json_extract_string(j, '$.content') AS content, json_extract_string(j, '$.metadata.format') AS format, json_extract_string(j, '$.metadata.mediaPaths[0]') AS first_path FROM (SELECT result_id, json_object('content', file_name, 'metadata', json_object('format', file_type, 'mediaPaths', list_transform(coalesce(media_paths, []), lambda p: 'doc_media/' || list_last(string_split(p, '/'))))) AS j FROM {RES})""")
+def saved_json(s, d):
+    j = report.saved_json(F.col("file_name"), {"format": F.col("file_type")}, F.lit("doc"), F.col("media_paths"))
+    x = results(s, d).select("result_id", j.alias("j"))
+    return x.select("result_id", F.get_json_object("j", "$.content").alias("content"), F.get_json_object("j", "$.metadata.format").alias("format"), F.get_json_object("j", "$.metadata.mediaPaths[0]").alias("first_path"))
+
+
+@query(f"""SELECT source_id, CASE WHEN count(*) = 1 THEN max(coalesce(markdown, '')) ELSE string_agg('## ' || file_name || chr(10) || chr(10) || coalesce(markdown, ''), chr(10) || chr(10) ORDER BY result_id) END AS text FROM {RES} GROUP BY source_id""")
+def readable_text(s, d):
+    return report.readable(results(s, d), "source_id", "result_id", "file_name", "markdown")
+
+
+@query(f"""SELECT result_id, len(list_filter(coalesce(media_paths, []), lambda p: trim(coalesce(p, ''), ' ') <> '')) - len(list_filter(coalesce(media_paths, []), lambda p: trim(coalesce(p, ''), ' ') <> '' AND (starts_with(p, '/') OR media_dir IS NOT NULL))) AS unresolved, json_extract_string(json_object('name', file_name, 'status', CASE WHEN ok THEN 'success' ELSE 'failed' END, 'error', error, 'mdPath', md_path), '$.mdPath') AS md FROM {RES}""")
+def path_blocks(s, d):
+    found = report.absolute_media(F.col("media_paths"), F.col("media_dir"))
+    b = report.path_block(F.col("file_name"), report.status(F.col("ok"), F.lit(None).cast("string"), F.lit(None).cast("string")), F.col("error"), {"mdPath": F.col("md_path")})
+    return results(s, d).select("result_id", report.unresolved(F.col("media_paths"), found).alias("unresolved"), F.get_json_object(b, "$.mdPath").alias("md"))
+
+
+@query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'office' WHEN 1 THEN 'libreoffice' ELSE CASE WHEN c_custkey % 3 = 0 THEN 'office' WHEN c_custkey % 5 = 0 THEN 'libreoffice' END END AS provider FROM customer")
+def legacy_providers(s, d):
+    k = F.col("c_custkey")
+    wanted = F.when(k % 4 == 0, "Office-COM").when(k % 4 == 1, " soffice ").when(k % 4 == 2, "auto")
+    return read(s, d, "customer").select(k.alias("id"), chain.legacy_provider(wanted, k % 3 == 0, F.when(k % 5 == 0, "/opt/soffice")).alias("provider"))
+
+
+@query("SELECT source_id, path FROM (SELECT DISTINCT source_id, 'p' || page || '/' || xref AS path FROM page_images) m WHERE NOT EXISTS (SELECT 1 FROM page_images a WHERE a.source_id = m.source_id AND 'p' || a.page || '/' || a.xref = m.path AND a.y0 IS NOT NULL)")
+def unanchored_media(s, d):
+    x = read(s, d, "page_images").withColumn("path", F.concat(F.lit("p"), "page", F.lit("/"), "xref")).withColumn("doc", F.col("source_id"))
+    return sheets.unanchored(x.select("doc", "path").distinct(), x.where("y0 IS NOT NULL")).select(F.col("doc").alias("source_id"), "path")
+
+
+@query("SELECT date_trunc('hour', arrived_at) AS start, backend, count(*) AS n FROM attempts WHERE arrived_at IS NOT NULL GROUP BY 1, 2")
+def arrivals(s, d):
+    """The streaming aggregation over the table as a whole; as a stream it drops what comes after the watermark."""
+    from ..streaming.inbox import arrivals as windows
+
+    return windows(read(s, d, "attempts").where("arrived_at IS NOT NULL"), "arrived_at", "backend")
