@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .within import pairs_within
+
 # A prototype, then letters and signs of other scripts and code blocks drawn with the same shape.
 PROTOTYPES = """
 A Α А Ꭺ ᗅ ꓮ Ⲁ
@@ -221,7 +223,6 @@ def pairs(df: DataFrame, key: str = "result_id", text: str = "markdown") -> Data
     texts that show nothing are in no pair. Rows equal in key count once."""
     rows = canonical(df, key, text, "s").where("s <> ''").select(F.col(key).alias("k"), "look", "stored").distinct()
     mixed = rows.groupBy("look").agg(F.min("stored").alias("low"), F.max("stored").alias("high")).where("low <> high").select("look")
-    # Only texts that are stored in several ways remain, a small part; a hot look is left to adaptive skew handling.
-    rows = rows.join(mixed, "look")
-    met = rows.alias("x").join(rows.alias("y"), F.expr("x.look = y.look AND x.stored <> y.stored AND x.k < y.k"))
-    return met.select(F.col("x.k").alias(f"{key}_a"), F.col("y.k").alias(f"{key}_b")).distinct()
+    # Only texts that are stored in several ways remain, a small part.
+    met = pairs_within(rows.where("k IS NOT NULL").join(mixed, "look"), "look", "k", "stored")
+    return met.select(F.col("p").alias(f"{key}_a"), F.col("q").alias(f"{key}_b")).distinct()

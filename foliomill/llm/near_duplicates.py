@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .within import pairs_within
 
 ROWS, BANDS, MEET, HASHES, BITS, TILE, WIDTH = 6, 108, 2, 9, 2048, 256, 5
 BINS = ROWS * BANDS // HASHES
@@ -204,7 +205,7 @@ def pairs(df: DataFrame, key: str = "result_id", text: str = "markdown", percent
     """(key_a, key_b), key_a < key_b: every two rows of different keys at least percent alike, equal texts included."""
     members, found = links(df, key, text, percent, least)
     members = staged(members, "members")
-    same = members.alias("x").join(members.alias("y"), F.expr("x.h = y.h AND x.k < y.k")).select(F.col("x.k").alias("p"), F.col("y.k").alias("q"))
+    same = pairs_within(members, "h", "k")
     unlike = found.join(members.select(F.col("h").alias("a"), F.col("k").alias("p")), "a").join(members.select(F.col("h").alias("b"), F.col("k").alias("q")), "b").select("p", "q")
     return same.union(unlike).where("p <> q").select(F.least("p", "q").alias(f"{key}_a"), F.greatest("p", "q").alias(f"{key}_b")).distinct()
 
