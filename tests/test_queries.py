@@ -16,7 +16,7 @@ def plain(df: pd.DataFrame) -> list:
     def value(x):
         if x is None or not hasattr(x, "__len__") and pd.isna(x):
             return None
-        return x if isinstance(x, str) else round(float(x), 9)
+        return x if isinstance(x, str) else str(x) if isinstance(x, pd.Timestamp) else round(float(x), 9)
 
     return sorted(([value(x) for x in r] for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
 
