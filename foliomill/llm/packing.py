@@ -115,7 +115,7 @@ def pack(df: DataFrame, key: str, size: str, capacity: int, salts: int = SALTS)
                 out.append(first[i] + (rank - ranks[i]) // per[i])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("k", "piece", "start", "n")), pa.array(out, pa.int64())], names=["k", "piece", "start", "n", "container"])
 
-    ranked = piece.withColumn("rank", F.row_number().over(Window.partitionBy("n", "salt").orderBy("k", "piece")) - 1).join(F.broadcast(offsets.select("n", "salt", "before")), ["n", "salt"], "left")
+    ranked = piece.withColumn("rank", F.row_number().over(Window.partitionBy("n", "salt").orderBy("k", "piece")) - 1).join(offsets.select("n", "salt", "before"), ["n", "salt"], "left")
     ranked = ranked.select("k", "piece", "start", "n", (F.col("rank") + F.coalesce(F.col("before"), F.lit(0))).cast("long").alias("rank"))
     kind = df.schema[key].dataType.simpleString()
     return ranked.mapInArrow(place, f"k {kind}, piece int, start int, n int, container bigint").select(F.col("k").alias(key), "piece", "start", F.col("n").alias("n_tokens"), "container")
