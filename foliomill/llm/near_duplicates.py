@@ -86,23 +86,23 @@ def plain(text: str) -> str:
 
 
 def signed(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """(k, h, n, bits, bands) of each row whose text has at least least characters once blanks are dropped; h stands for the
-    set: equal texts have equal h."""
+    """(k, x, h, n, bits, bands) of each row whose text has at least least characters once blanks are dropped; h stands for the
+    set, which equal texts share, x for the text as stored."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for b in batches:
             rows = []
-            for k, t in zip(b["k"], b["t"]):
+            for k, x, t in zip(b["k"], b["x"], b["t"]):
                 t = plain(t) if t else ""
                 if len(t) >= max(least, WIDTH):
                     s = shingles(t)
-                    rows.append((k, np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64), len(s), bitmap(s), band_keys(s)))
-            yield pd.DataFrame(rows, columns=["k", "h", "n", "bits", "bands"])
+                    rows.append((k, x, np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64), len(s), bitmap(s), band_keys(s)))
+            yield pd.DataFrame(rows, columns=["k", "x", "h", "n", "bits", "bands"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND length(t) >= 5").mapInPandas(run, f"k {kind}, h bigint, n int, bits binary, bands array<int>")
+    return df.select(F.col(key).alias("k"), F.xxhash64(text).alias("x"), F.col(text).alias("t")).where("k IS NOT NULL AND length(t) >= 5").mapInPandas(run, f"k {kind}, x bigint, h bigint, n int, bits binary, bands array<int>")
 
 
 def tile_pairs(percent: int):
@@ -183,7 +183,7 @@ def links(df: DataFrame, key: str = "result_id", text: str = "markdown", percent
     in neither. Rows equal in key and text count once. An empty df gives two empty tables."""
     sets = staged(signed(df, key, text, least), "sets")
     members = sets.select("k", "h").distinct()
-    nodes = sets.groupBy("h").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    nodes = sets.groupBy("h").agg(F.min(F.struct("k", "x")).alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     rows = nodes.select("h", "n", F.posexplode("bands").alias("band", "v")).select("h", "n", F.expr("shiftleft(cast(band as bigint), 32) | (v & 4294967295)").alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     # Tiles are bands of size: the finer the more there are in a bucket, with a hash part so that equal sizes split too.
@@ -195,8 +195,8 @@ def links(df: DataFrame, key: str = "result_id", text: str = "markdown", percent
     side = nodes.select("h", "n", "bits")
     near = near.join(side.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a").join(side.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
     near = staged(near.mapInPandas(bounded(percent), "a bigint, b bigint"), "near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(nodes.select("h", "k"), "h")
-    texts = df.select(F.col(key).alias("k"), F.col(text).alias("t")).join(wanted, "k").groupBy("h").agg(F.first("t").alias("t"))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(nodes.select("h", "one.k", "one.x"), "h")
+    texts = df.select(F.col(key).alias("k"), F.xxhash64(text).alias("x"), F.col(text).alias("t")).join(wanted, ["k", "x"]).groupBy("h").agg(F.first("t").alias("t"))
     both = near.join(texts.select(F.col("h").alias("a"), F.col("t").alias("text_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("t").alias("text_b")), "b")
     return members, both.sortWithinPartitions("a").mapInPandas(verified(percent), "a bigint, b bigint")
 

@@ -35,6 +35,7 @@ def test_pairs_equal_brute_force(spark):
     rows = corpus()
     odd = [(1001, None), (1002, ""), (1003, "short"), (None, rows[0][1]), (1004, "z" * 199), (1005, "z" * 200), (1006, "Z Z" + "z" * 198), (1007, "퟿😀" * 150)]
     rows += odd + rows[:3]  # repeated rows count once
+    rows += [(rows[0][0], rows[40][1]), (rows[41][0], rows[80][1])]  # keys with a second text
     rows.append((1008, " ".join(str(x) for x in range(60_000))))  # a very long text
     df = spark.createDataFrame(rows, "result_id long, markdown string")
     from pyspark.sql import functions as F
