@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 
 def latest(df: DataFrame, key: str, order: str = "arrived_at") -> DataFrame:
-    """One row per key: the one delivered last; of equals any, as redelivered rows carry the same content. The choice is made
-    by an aggregate, so copies are dropped before the shuffle."""
-    others = [c for c in df.columns if c != key]
-    best = df.groupBy(key).agg(F.max_by(F.struct(*others), F.coalesce(F.col(order), F.lit("0001-01-01").cast("timestamp_ntz"))).alias("_r"))
-    return best.select(key, "_r.*").select(*df.columns)
+    """One row per key: the one delivered last; of equals any, as redelivered rows carry the same content. Spark limits the
+    groups before the shuffle too, and columns that nobody asks for later are not read."""
+    last = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last())
+    return df.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

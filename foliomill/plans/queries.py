@@ -39,8 +39,9 @@ def attempts(s: SparkSession, d: str) -> DataFrame:
     return rows.latest(read(s, d, "attempts"), "attempt_id")
 
 
-def sources(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "sources").distinct()
+def sources(s: SparkSession, d: str, *more: str) -> DataFrame:
+    """Sources once, with their path and the columns asked for; repeated rows are equal throughout."""
+    return read(s, d, "sources").select("source_id", "source_path", *more).distinct()
 
 
 def as_text(c):
@@ -75,7 +76,7 @@ def file_types(s, d):
 
 @query(f"SELECT source_id, array_to_string(list_sort(list_distinct(list_filter(generate_series(1, total_pages), lambda p: len(list_filter(string_split(regexp_replace(coalesce(page_range, ''), '\\s', '', 'g'), ','), lambda x: regexp_full_match(x, '[0-9]+(-[0-9]+)?') AND p BETWEEN least(try_cast(string_split(x, '-')[1] AS HUGEINT), try_cast(list_last(string_split(x, '-')) AS HUGEINT)) AND greatest(try_cast(string_split(x, '-')[1] AS HUGEINT), try_cast(list_last(string_split(x, '-')) AS HUGEINT)))) > 0 OR regexp_replace(coalesce(page_range, ''), '\\s', '', 'g') = ''))), ',') AS pages FROM {SRC} WHERE total_pages IS NOT NULL")
 def page_selection(s, d):
-    x = sources(s, d).where("total_pages IS NOT NULL")
+    x = sources(s, d, "page_range", "total_pages").where("total_pages IS NOT NULL")
     return x.select("source_id", as_text(pages.selected(F.col("page_range"), F.col("total_pages"))).alias("pages"))
 
 
@@ -83,7 +84,7 @@ def page_selection(s, d):
   regexp_replace(list_last(string_split(source_path, '/')), '(.)\\.[^.]*$', '\\1') || '_chunk_' || lpad(g::VARCHAR, 3, '0') || '.pdf' AS chunk_name
   FROM (SELECT *, unnest(generate_series(1, ceil(total_pages / 20.0)::INT))::INT AS g FROM {SRC} WHERE total_pages > 20)""")
 def page_chunks(s, d):
-    return pages.chunks(sources(s, d), "total_pages", "source_path", 20).select("source_id", "chunk_index", "start_page", "end_page", "chunk_name")
+    return pages.chunks(sources(s, d, "total_pages"), "total_pages", "source_path", 20).select("source_id", "chunk_index", "start_page", "end_page", "chunk_name")
 
 
 PLACED = """(WITH b AS (SELECT *, least(y0, coalesce(y1, y0)) AS top, least(x0, coalesce(x1, x0)) AS lft FROM page_images WHERE y0 IS NOT NULL AND x0 IS NOT NULL),
@@ -261,7 +262,7 @@ PAGE = PAGE.replace("s.total_pages", "coalesce(s.total_pages, 0)")
 
 
 def derived_pages(s, d):
-    return sources(s, d).alias("s").select("source_id", F.expr(PAGE).alias("html"))
+    return sources(s, d, "page_range", "total_pages").alias("s").select("source_id", F.expr(PAGE).alias("html"))
 
 
 DPAGE = f"(SELECT source_id, {PAGE} AS html FROM {SRC} s)"
@@ -421,7 +422,7 @@ def media_locations(s, d):
 @query(f"SELECT source_id, CASE WHEN size_bytes > 10 * 1048576 THEN 'too large' WHEN total_pages > 20 THEN 'too many pages' END AS refused, coalesce(CASE WHEN source_id % 4 = 0 THEN 'out/' || source_id END, CASE WHEN source_id % 3 = 0 THEN 'auto' END, CASE WHEN source_id % 5 = 0 THEN 'sum' END) AS folder FROM {SRC}")
 def service_limits(s, d):
     i = F.col("source_id")
-    return sources(s, d).select("source_id", chain.within_limits(F.col("total_pages"), F.col("size_bytes"), F.lit(False)).alias("refused"), report.output_folder(F.when(i % 4 == 0, F.concat(F.lit("out/"), i)).otherwise(" "), i % 3 == 0, F.lit("auto"), i % 5 == 0, F.lit("sum")).alias("folder"))
+    return sources(s, d, "total_pages", "size_bytes").select("source_id", chain.within_limits(F.col("total_pages"), F.col("size_bytes"), F.lit(False)).alias("refused"), report.output_folder(F.when(i % 4 == 0, F.concat(F.lit("out/"), i)).otherwise(" "), i % 3 == 0, F.lit("auto"), i % 5 == 0, F.lit("sum")).alias("folder"))
 
 
 @query("SELECT service, count(*) AS total, count(*) FILTER (WHERE st = 'valid') AS valid, count(*) FILTER (WHERE st <> 'valid') AS invalid FROM (SELECT service, CASE WHEN service = 'mineru' THEN CASE WHEN code = 'A0211' THEN 'expired' WHEN code = 'A0202' OR status = 401 THEN 'invalid' WHEN status = 200 THEN 'valid' ELSE 'error' END ELSE CASE WHEN status IN (200, 400) THEN 'valid' WHEN status IN (401, 403) THEN 'invalid' ELSE 'error' END END AS st FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'mineru' ELSE 'paddle' END AS service, [200, 400, 401, 403, 500][c_custkey % 5 + 1] AS status, ['', 'A0211', 'A0202'][c_custkey % 3 + 1] AS code FROM customer)) GROUP BY service")
