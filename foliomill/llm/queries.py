@@ -93,4 +93,13 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_canonical, p3_found, p3_pieces, p4_found, p4_restored, p5_found, p5_repaired, p6_found, p6_main, p7_ids, p8_containers, p9_found, p9_scores, p9_rates)}
-ORACLE: dict[str, str] = {}
+# Brute force where SQL can express the definition; the others are tested in tests/llm.
+ORACLE: dict[str, str] = {
+    "p1_found": """WITH t AS (SELECT result_id, replace(replace(replace(replace(lower(any_value(markdown)), ' ', ''), chr(9), ''), chr(10), ''), chr(13), '') AS s FROM results WHERE markdown IS NOT NULL GROUP BY result_id),
+ g AS (SELECT DISTINCT result_id, substr(s, i, 5) AS piece FROM t, unnest(generate_series(1, length(s) - 4)) u(i) WHERE length(s) >= 200),
+ n AS (SELECT result_id, count(*) AS n FROM g GROUP BY 1),
+ o AS (SELECT a.result_id AS x, b.result_id AS y, count(*) AS c FROM g a JOIN g b ON a.piece = b.piece AND a.result_id < b.result_id GROUP BY 1, 2)
+ SELECT x AS result_id_a, y AS result_id_b FROM o JOIN n p ON p.result_id = x JOIN n q ON q.result_id = y WHERE c * 100 >= 70 * (p.n + q.n - c)""",
+    "p3_found": """SELECT DISTINCT chunk_id FROM chunks WHERE coalesce(octet_length(data), 0) > 8192
+ OR CASE WHEN start_page IS NULL OR end_page IS NULL THEN length(coalesce(decode(data), '')) - length(replace(coalesce(decode(data), ''), chr(12), '')) + 1 ELSE abs(end_page - start_page) + 1 END > 20""",
+}
