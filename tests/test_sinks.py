@@ -36,3 +36,37 @@ def test_settings():
     assert credential("ak:sk:rest") == {"accessKey": "ak", "secretKey": "sk:rest"} and credential("t") == {"token": "t"}
     s = Settings.of({"pdf_backends": "mineru,local", "max_rows": 0, "unknown": 1})
     assert s.pdf_backends == ["mineru", "local"] and s.max_rows == 0 and Settings.of("no").split_pages == 180
+
+
+def test_two_phase_source(spark, tmp_path):
+    import pytest
+
+    from foliomill.sinks import datasource
+
+    datasource.register(spark)
+    rows = spark.createDataFrame([(f"n{k}", f"text {k}") for k in range(20)], "name string, markdown string").repartition(4)
+    rows.write.format("markdown_files").mode("append").option("path", str(tmp_path)).save()
+    assert len(list(tmp_path.glob("*.md"))) == 20 and (tmp_path / "n3.md").read_text() == "text 3"
+    assert not list(tmp_path.glob(".staging*"))
+    with pytest.raises(Exception, match="exist"):
+        rows.union(rows.sparkSession.createDataFrame([("new", "x")], "name string, markdown string")).write.format("markdown_files").mode("append").option("path", str(tmp_path)).save()
+    assert not (tmp_path / "new.md").exists() and (tmp_path / "n3.md").read_text() == "text 3" and not list(tmp_path.glob(".staging*"))
+
+
+def test_arrivals_stream_drops_what_is_too_late(spark, tmp_path):
+    import datetime as dt
+
+    def put(name, hours):
+        t = dt.datetime(2025, 1, 10, tzinfo=dt.timezone.utc)
+        spark.createDataFrame([("k", t + dt.timedelta(hours=h)) for h in hours], "key string, at timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    put("a", [0, 0, 1])
+    stream = spark.readStream.schema("key string, at timestamp").parquet(str(tmp_path / "in" / "*"))
+    q = inbox.arrivals(stream, "at", "key", late="2 hours").writeStream.outputMode("append").format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for name, hours in (("b", [9]), ("c", [0]), ("d", [20])):
+        q.processAllAvailable()
+        put(name, hours)
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.start.hour, r.n) for r in spark.table("seen").collect()}
+    assert (0, 2) in got and (9, 1) in got and (0, 3) not in got
