@@ -48,3 +48,17 @@ def files(df: DataFrame, key: str, lines: str, kind: str) -> DataFrame:
             yield pd.DataFrame({"path": [f"{k}.{kind}" for k in b["k"]], "content": [make(list(x)) for x in b["x"]]})
 
     return df.select(F.col(key).alias("k"), F.col(lines).alias("x")).mapInPandas(run, "path string, content binary")
+
+
+def fraction(a: str, b: str) -> str:
+    """Office math of a / b."""
+    run = lambda t: f"<m:r><m:t>{_xml(t)}</m:t></m:r>"
+    return f'<m:oMath xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"><m:f><m:num>{run(a)}</m:num><m:den>{run(b)}</m:den></m:f></m:oMath>'
+
+
+def equation(base: str, power: str) -> bytes:
+    """MathType records of base to the power."""
+    char = lambda c: bytes((2, 0, 131)) + ord(c).to_bytes(2, "little")
+    line = lambda t: b"\x01\x00" + b"".join(map(char, t)) + b"\x00"
+    script = bytes((3, 0, 28, 0, 0)) + line("") + line(power) + b"\x00"
+    return b"\x05\x01\x00\x06\x00DSMT6\x00\x00" + b"\x01\x00" + b"".join(map(char, base)) + script + b"\x00\x00"

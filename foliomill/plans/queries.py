@@ -577,3 +577,59 @@ def arrivals(s, d):
     from ..streaming.inbox import arrivals as windows
 
     return windows(read(s, d, "attempts").where("arrived_at IS NOT NULL"), "arrived_at", "backend")
+
+
+@query("SELECT c_custkey AS id, '\\frac{' || c_nationkey || '}{\\alpha' || c_custkey || '}' AS latex, 'x' || c_custkey || '^{' || c_nationkey || '}' AS power FROM customer")
+def formulas(s, d):
+    """Office math and MathType records made of the rows, as LaTeX."""
+    from xml.etree import ElementTree as ET
+
+    from ..formats.mtef import to_latex
+    from ..formats.omml import latex
+    from . import fixtures
+
+    @F.pandas_udf("string")
+    def office(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([latex(ET.fromstring(fixtures.fraction(str(x), f"α{y}"))) for x, y in zip(a, b)])
+
+    @F.pandas_udf("string")
+    def mathtype(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([to_latex(fixtures.equation(f"x{x}", str(y))) for x, y in zip(a, b)])
+
+    return read(s, d, "customer").select(F.col("c_custkey").alias("id"), office("c_nationkey", "c_custkey").alias("latex"), mathtype("c_custkey", "c_nationkey").alias("power"))
+
+
+@query(f"""SELECT source_id, array_to_string(list_filter(list_transform(list_sort(list(struct_pack(k := chunk_index, t := chunk_name))), lambda x: x.t), lambda t: trim(coalesce(t, ''), ' ') <> ''), chr(10) || chr(10)) AS markdown FROM {CHUNKS} GROUP BY source_id""")
+def ocr_results(s, d):
+    """JSON lines of an OCR service made of chunks, with a broken line among them."""
+    from ..sources.files import ocr_lines
+
+    c = read(s, d, "chunks").distinct().where("data IS NOT NULL").select("source_id", "chunk_index", "chunk_name")
+    j = F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(F.col("chunk_name").alias("text"), F.create_map(F.lit("imgs/a.png"), F.lit("u")).alias("images")).alias("markdown"))).alias("layoutParsingResults")).alias("result")))
+    lines = c.select("source_id", "chunk_index", F.explode(F.array(j, F.lit("{broken"))).alias("line"))
+    return ocr_lines(lines, "source_id", "chunk_index", "line").select("source_id", "markdown")
+
+
+@query("""SELECT doc_id, 0 AS pos, 'image' AS kind, 'image_001.png' AS name, strlen(text)::INT AS size FROM documents WHERE length(text) > 0 UNION ALL SELECT doc_id, 1, 'audio', 'audio_001.mp3', strlen(text)::INT FROM documents WHERE length(text) > 0""")
+def embedded_media(s, d):
+    from ..functions.remote import embedded
+
+    b = F.base64(F.encode("text", "UTF-8"))
+    b = F.regexp_replace(b, r"\s", "")
+    x = read(s, d, "documents").where("length(text) > 0").select("doc_id", F.concat(F.lit("![a](data:image/png;base64,"), b, F.lit(") and ![b](data:audio/mpeg;base64,"), b, F.lit(")")).alias("md"))
+    return embedded(x, "doc_id", "md").select("doc_id", "pos", "kind", "name", F.octet_length("data").alias("size"))
+
+
+@query(f"SELECT source_id, regexp_matches(source_path, '^https?://') AS web, false AS inside FROM {SRC}")
+def public_addresses(s, d):
+    from ..functions.remote import public_host
+
+    judge = public_host()
+    return sources(s, d).select("source_id", judge("source_path").alias("web"), judge(F.concat(F.lit("http://10.0."), F.col("source_id") % 250, F.lit(".1/x"))).alias("inside"))
+
+
+@query(f"""SELECT source_id, '<img src="image_' || source_id || '.png"> [v](clip.mp4)' AS markdown FROM {SRC}""")
+def source_substitution(s, d):
+    m = F.create_map(F.concat(F.lit("https://h/"), F.col("source_id"), F.lit("?x=1")), F.concat(F.lit("/o/m/image_"), F.col("source_id"), F.lit(".png")), F.lit("https://h/v"), F.lit("clip.mp4"))
+    text = F.concat(F.lit('<img src="https://h/'), F.col("source_id"), F.lit('?x=1"> [v](https://h/v)'))
+    return sources(s, d).select("source_id", html.substitute_sources(text, m).alias("markdown"))
