@@ -43,7 +43,7 @@ def points(line: str) -> float:
     weight = (len(bare) + len(bare.encode("utf-8", "replace"))) // 2  # a Chinese character counts as two
     if weight < 160 and FURNITURE.search(bare):
         return 0.0
-    if not (weight >= 70 or weight >= 20 and END.search(bare)):
+    if not (weight >= 56 or weight >= 20 and END.search(bare)):
         return 0.0
     if weight < 100 and BARS.search(bare) and not re.search(r"[.。;；]", bare):
         return 0.0
