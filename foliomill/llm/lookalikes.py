@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .within import pairs_within
 
 # A prototype, then letters and signs of other scripts and code blocks drawn with the same shape.
@@ -221,8 +222,9 @@ def canonical(df: DataFrame, key: str = "result_id", text: str = "markdown", out
 def pairs(df: DataFrame, key: str = "result_id", text: str = "markdown") -> DataFrame:
     """(key_a, key_b), key_a < key_b: different rows whose texts differ as stored and have equal skeletons. Null texts and
     texts that show nothing are in no pair. Rows equal in key count once."""
-    rows = canonical(df, key, text, "s").where("s <> ''").select(F.col(key).alias("k"), "look", "stored").distinct()
+    rows = canonical(df, key, text, "s").where((F.col("s") != "") & F.col(key).isNotNull()).select(F.col(key).alias("k"), "look", "stored")
+    rows = staged(rows, "looks").distinct()  # three numbers a row, read several times below
     mixed = rows.groupBy("look").agg(F.min("stored").alias("low"), F.max("stored").alias("high")).where("low <> high").select("look")
     # Only texts that are stored in several ways remain, a small part.
-    met = pairs_within(rows.where("k IS NOT NULL").join(mixed, "look"), "look", "k", "stored")
+    met = pairs_within(rows.join(mixed, "look"), "look", "k", "stored")
     return met.select(F.col("p").alias(f"{key}_a"), F.col("q").alias(f"{key}_b")).distinct()
