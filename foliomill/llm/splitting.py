@@ -43,14 +43,16 @@ def atoms(data: bytes, most: int) -> tuple[list[int], list[int]]:
                 strength[m.end()] = level
     ends, out = sorted(strength), []
     start = 0
-    for e in ends:
+    for e, after in zip(ends, [*ends[1:], len(data)]):
         while e - start > most:
             cut = char_start(data, start + most)
             cut = cut if cut > start else start + most
             out.append((cut, 0))
             start = cut
-        out.append((e, strength[e]))
-        start = e
+        # Words that fit in an atom together are one: theirs are the boundaries that would go first.
+        if strength[e] > 1 or after - start > most:
+            out.append((e, strength[e]))
+            start = e
     return [e for e, _ in out], [s for _, s in out]
 
 
