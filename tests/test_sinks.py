@@ -70,3 +70,20 @@ def test_arrivals_stream_drops_what_is_too_late(spark, tmp_path):
     q.stop()
     got = {(r.start.hour, r.n) for r in spark.table("seen").collect()}
     assert (0, 2) in got and (9, 1) in got and (0, 3) not in got
+
+
+def test_media_files(spark, tmp_path):
+    from helpers import REL, archive, rels
+
+    from foliomill.sinks import media
+    from foliomill.sources import files
+
+    blip = f'<w:p><w:r><w:drawing><x:blip xmlns:x="x" xmlns:r="{REL}" r:embed="%s"/></w:drawing></w:r></w:p>'
+    raw = archive({"word/document.xml": '<w:document xmlns:w="w"><w:body>' + blip % "r1" + blip % "r2" + "</w:body></w:document>", "word/_rels/document.xml.rels": rels(("r1", "image", "media/a.png"), ("r2", "image", "media/b.png")), "word/media/a.png": b"A", "word/media/b.png": b"B"})
+    df = spark.createDataFrame([("in/d.docx", bytearray(raw)), ("in/broken.docx", bytearray(b"x"))], "path string, content binary")
+    out = tmp_path / "d_media"
+    out.mkdir()
+    (out / "image_002.png").write_bytes(b"other")
+    got = {r.name: r.error is None for r in media.save(df, files.documents(df), str(tmp_path)).collect()}
+    assert got == {"image_001.png": True, "image_002.png": False}
+    assert (out / "image_001.png").read_bytes() == b"A" and (out / "image_002.png").read_bytes() == b"other"
