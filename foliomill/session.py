@@ -25,9 +25,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir). Only where the session names none, as in local tests, a
-    temporary one is set."""
+    temporary one is set; a cluster must name its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="foliomill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
