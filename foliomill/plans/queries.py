@@ -244,6 +244,16 @@ def strip_images(s, d):
     return results(s, d).select("result_id", T.strip_data_images(m).alias("data_stripped"), T.strip_image_tags(m).alias("all_stripped"))
 
 
+WHOLE_MD = DATA_MD.replace("left(markdown, 200)", "markdown")
+
+
+@query(ORACLE["strip_images"].replace(DATA_MD, WHOLE_MD))
+def strip_images_whole(s, d):
+    """As strip_images, over each result's whole Markdown."""
+    m = F.expr(WHOLE_MD.replace("chr(10)", "char(10)"))
+    return results(s, d).select("result_id", T.strip_data_images(m).alias("data_stripped"), T.strip_image_tags(m).alias("all_stripped"))
+
+
 @query(f"SELECT attempt_id, replace(replace(coalesce(backend, '') || ' key ' || batch_id || ' ' || coalesce(reason, ''), batch_id, '[REDACTED]'), 'quota', '[REDACTED]') AS message, CASE WHEN coalesce(length(batch_id), 0) < 8 THEN '***' ELSE left(batch_id, 4) || '...' || right(batch_id, 4) END AS masked FROM {ATT}")
 def redaction(s, d):
     m = F.concat(F.coalesce("backend", F.lit("")), F.lit(" key "), F.col("batch_id"), F.lit(" "), F.coalesce("reason", F.lit("")))
