@@ -162,14 +162,19 @@ def media_path_limit(s, d):
     return results(s, d).where("media_paths IS NOT NULL").select("result_id", F.array_join(p, "|").alias("paths"), n.alias("n"))
 
 
+def guide_of(r):
+    """The guide to the media of results' rows, '' without any."""
+    some = F.filter(F.coalesce("media_paths", F.array().cast("array<string>")), lambda p: p.isNotNull())
+    kinds = F.transform(some, lambda p: M.classify(M.suffix(p)))
+    return M.guide({k: F.size(kinds) - F.size(F.array_remove(kinds, k)) for k in ("image", "video", "audio", "other")}, F.col("output_dir").isNotNull())
+
+
 @query(f"""SELECT result_id, chr(10) || chr(10) || '---' || chr(10) || chr(10) || '📎 提取了 ' || n || ' 个媒体文件' || CASE WHEN len(parts) > 1 THEN '（' || array_to_string(parts, '、') || '）' ELSE '' END || CASE WHEN output_dir IS NOT NULL THEN '，已保存到本地' ELSE '' END || '。请先阅读以上媒体，再结合文档内容回复。' AS guide
   FROM (SELECT r.result_id, r.output_dir, n, list_filter([CASE WHEN i > 0 THEN '📷 ' || i || ' 图片' END, CASE WHEN v > 0 THEN '🎬 ' || v || ' 视频' END, CASE WHEN a > 0 THEN '🎵 ' || a || ' 音频' END, CASE WHEN o > 0 THEN '📎 ' || o || ' 媒体' END], lambda x: x IS NOT NULL) AS parts
     FROM {RES} r JOIN (SELECT result_id, count(*) AS n, count(*) FILTER (WHERE kind = 'image') AS i, count(*) FILTER (WHERE kind = 'video') AS v, count(*) FILTER (WHERE kind = 'audio') AS a, count(*) FILTER (WHERE kind = 'other') AS o FROM {MEDIA} GROUP BY 1) m USING (result_id))""")
 def media_guide(s, d):
     r = results(s, d).where(F.size("media_paths") > 0)
-    kinds = F.transform(F.filter("media_paths", lambda p: p.isNotNull()), lambda p: M.classify(M.suffix(p)))
-    counts = {k: F.size(kinds) - F.size(F.array_remove(kinds, k)) for k in ("image", "video", "audio", "other")}
-    return r.select("result_id", M.guide(counts, F.col("output_dir").isNotNull()).alias("guide")).where("guide <> ''")
+    return r.select("result_id", guide_of(r).alias("guide")).where("guide <> ''")
 
 
 @query("SELECT source_id, xref, min(page)::INT AS page, arg_max(kind, rank) AS kind FROM (SELECT source_id, xref, page, CASE WHEN lower(ext) IN ('png','jpeg','jpg') THEN 'image' WHEN lower(ext) IN ('bmp') THEN 'video' ELSE 'other' END AS kind, CASE WHEN lower(ext) IN ('png','jpeg','jpg') THEN 1 WHEN lower(ext) IN ('bmp') THEN 3 ELSE 0 END AS rank FROM page_images) GROUP BY source_id, xref")
@@ -549,6 +554,14 @@ def agent_payload(s, d):
     return results(s, d).select("result_id", report.agent_text(F.coalesce("file_type", F.lit("x")), F.lit(""), F.coalesce("media_paths", none), F.coalesce("warnings", none)).alias("payload"))
 
 
+@query(ORACLE["agent_payload"].replace("coalesce(file_type, 'x')", "coalesce(markdown, '') || coalesce(guide, '')").replace(RES, f"{RES} LEFT JOIN ({ORACLE['media_guide']}) USING (result_id)"))
+def agent_payload_whole(s, d):
+    """As agent_payload, of each result's Markdown and the guide to its media."""
+    none = F.array().cast("array<string>")
+    r = results(s, d)
+    return r.select("result_id", report.agent_text(F.col("markdown"), guide_of(r), F.coalesce("media_paths", none), F.coalesce("warnings", none)).alias("payload"))
+
+
 @query(f"""SELECT result_id, json_extract_string(j, '$.content') AS content, json_extract_string(j, '$.metadata.format') AS format, json_extract_string(j, '$.metadata.mediaPaths[0]') AS first_path FROM (SELECT result_id, json_object('content', file_name, 'metadata', json_object('format', file_type, 'mediaPaths', list_transform(coalesce(media_paths, []), lambda p: 'doc_media/' || list_last(string_split(p, '/'))))) AS j FROM {RES})""")
 def saved_json(s, d):
     j = report.saved_json(F.col("file_name"), {"format": F.col("file_type")}, F.lit("doc"), F.col("media_paths"))
@@ -556,6 +569,14 @@ def saved_json(s, d):
     return x.select("result_id", F.get_json_object("j", "$.content").alias("content"), F.get_json_object("j", "$.metadata.format").alias("format"), F.get_json_object("j", "$.metadata.mediaPaths[0]").alias("first_path"))
 
 
+@query(ORACLE["saved_json"].replace("'content', file_name", "'content', markdown"))
+def saved_json_whole(s, d):
+    """As saved_json, with each result's Markdown as content."""
+    j = report.saved_json(F.col("markdown"), {"format": F.col("file_type")}, F.lit("doc"), F.col("media_paths"))
+    x = results(s, d).select("result_id", j.alias("j"))
+    return x.select("result_id", F.get_json_object("j", "$.content").alias("content"), F.get_json_object("j", "$.metadata.format").alias("format"), F.get_json_object("j", "$.metadata.mediaPaths[0]").alias("first_path"))
+
+
 @query(f"""SELECT source_id, CASE WHEN count(*) = 1 THEN max(coalesce(markdown, '')) ELSE string_agg('## ' || file_name || chr(10) || chr(10) || coalesce(markdown, ''), chr(10) || chr(10) ORDER BY result_id) END AS text FROM {RES} GROUP BY source_id""")
 def readable_text(s, d):
     return report.readable(results(s, d), "source_id", "result_id", "file_name", "markdown")
@@ -620,6 +641,17 @@ def ocr_results(s, d):
     return ocr_lines(lines, "source_id", "chunk_index", "line").select("source_id", "markdown")
 
 
+@query(f"""SELECT source_id, coalesce(string_agg(body, chr(10) || chr(10) ORDER BY chunk_index, body) FILTER (WHERE trim(body, ' ') <> ''), '') AS markdown FROM (SELECT DISTINCT chunk_id, source_id, chunk_index, start_page, end_page, chunk_name, decode(data) AS body FROM chunks) GROUP BY source_id""")
+def ocr_results_whole(s, d):
+    """As ocr_results, of the chunks' whole texts, null ones too."""
+    from ..sources.files import ocr_lines
+
+    c = read(s, d, "chunks").distinct().select("source_id", "chunk_index", F.decode("data", "UTF-8").alias("text"))
+    j = F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(F.col("text"), F.create_map(F.lit("imgs/a.png"), F.lit("u")).alias("images")).alias("markdown"))).alias("layoutParsingResults")).alias("result")))
+    lines = c.select("source_id", "chunk_index", F.explode(F.array(j, F.lit("{broken"))).alias("line"))
+    return ocr_lines(lines, "source_id", "chunk_index", "line").select("source_id", "markdown")
+
+
 @query("""SELECT doc_id, 0 AS pos, 'image' AS kind, 'image_001.png' AS name, strlen(text)::INT AS size FROM documents WHERE length(text) > 0 UNION ALL SELECT doc_id, 1, 'audio', 'audio_001.mp3', strlen(text)::INT FROM documents WHERE length(text) > 0""")
 def embedded_media(s, d):
     from ..functions.remote import embedded

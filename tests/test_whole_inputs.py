@@ -8,11 +8,11 @@ import pytest
 from foliomill.plans.queries import ORACLE, QUERIES
 
 LONG = "Zeile – 线路 – строка\n" * 40
-RESULT = "result_id long, source_id long, file_name string, file_type string, ok boolean, markdown string, warnings array<string>, media_paths array<string>, output_dir string, arrived_at timestamp"
+RESULT = "result_id long, source_id long, file_name string, file_type string, ok boolean, markdown string, warnings array<string>, media_paths array<string>, output_dir string, md_path string, arrived_at timestamp"
 
 
 def result(k, markdown, warnings=None, paths=None):
-    return (k, k, f"f{k}", "pdf", True, markdown, warnings, paths, "/out", dt.datetime(2025, 1, 1))
+    return (k, k, f"f{k}", "pdf", True, markdown, warnings, paths, "/out", None, dt.datetime(2025, 1, 1))
 
 
 @pytest.fixture
@@ -35,3 +35,22 @@ def test_images_far_behind_are_stripped(run):
     tail = '![b](data:image/png;base64,CC)<img src="data:x"><img src="y.png">\n\n\n\nend'
     got = run("strip_images_whole", "results", [result(1, LONG + tail), result(2, None), result(3, "")], RESULT)
     assert got[1].data_stripped.endswith(LONG + '[图片]<img src="y.png">\n\nend') and got[1].all_stripped.endswith(LONG + "[图片]\n\nend")
+
+
+def test_payloads_carry_the_markdown_and_its_guide(run):
+    text = LONG + 'a "quoted" \\ tab\t\r\nend \u2028'
+    got = run("agent_payload_whole", "results", [result(1, text, ["w"], ["/o/a.png", "/o/b.mp4"]), result(2, None), result(3, "", [])], RESULT)
+    assert got[1].payload.startswith(text + "\n\n---\n\n📎 提取了 2 个媒体文件（") and got[1].payload.endswith("\n媒体路径: /o/a.png, /o/b.mp4\n\n⚠️ 警告:\n- w")
+    assert got[2].payload == got[3].payload == ""
+
+
+def test_saved_json_carries_the_markdown(run):
+    text = LONG + 'a "quoted" \\ tab\t\r\nend \u2028'
+    got = run("saved_json_whole", "results", [result(1, text, None, ["/o/a.png"]), result(2, None), result(3, "")], RESULT)
+    assert (got[1].content, got[1].first_path, got[2].content, got[3].content) == (text, "doc_media/a.png", None, "")
+
+
+def test_ocr_results_carry_the_chunks(run):
+    rows = [(k, s, k, 1, 2, "name", None if t is None else t.encode()) for k, s, t in ((1, 1, LONG), (2, 1, None), (3, 1, "  "), (4, 1, 'b "q" \\ \r\n'), (5, 2, None))]
+    got = run("ocr_results_whole", "chunks", rows + rows[:1], "chunk_id long, source_id long, chunk_index int, start_page int, end_page int, chunk_name string, data binary")
+    assert got[1].markdown == LONG + '\n\nb "q" \\ \r\n' and got[2].markdown == ""
