@@ -23,7 +23,7 @@ def _zip(members: dict[str, str]) -> bytes:
 
 
 def _xml(line: str) -> str:
-    return escape("".join(c for c in line if c >= " " and not "\ud800" <= c <= "\udfff" and c not in "￾￿"))
+    return escape("".join(c for c in line if (c >= " " or c in "\t\n\r") and not "\ud800" <= c <= "\udfff" and c not in "￾￿"), {"\r": "&#13;"})
 
 
 def docx(lines: list[str]) -> bytes:

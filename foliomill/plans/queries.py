@@ -504,6 +504,35 @@ def pptx_extract(s, d):
     return out.select(F.regexp_extract("path", r"(\d+)\.", 1).cast("bigint").alias("doc_id"), "markdown")
 
 
+def text_lines(s, d):
+    """Each document's whole text as its lines."""
+    return read(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("lines"))
+
+
+# Lines without what XML cannot hold and without blanks around them.
+TEXT_LINES = rf"(SELECT doc_id, k, regexp_replace(regexp_replace(l, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{{fffe}}\x{{ffff}}]', '', 'g'), '^{WS}+|{WS}+$', '', 'g') AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL))"
+
+
+@query(f"""SELECT doc_id, '# ' || doc_id || '.docx' || coalesce(string_agg(chr(10) || chr(10) || l, '' ORDER BY k) FILTER (WHERE l <> ''), '') AS markdown FROM (SELECT doc_id, l, min(k) AS k FROM {TEXT_LINES} GROUP BY doc_id, l) GROUP BY doc_id""")
+def docx_extract_whole(s, d):
+    """As docx_extract, of the whole texts; paragraphs that repeat come out once."""
+    from ..sources.files import documents
+    from .fixtures import files
+
+    out = documents(files(text_lines(s, d), "doc_id", "lines", "docx"))
+    return out.select(F.regexp_extract("path", r"(\d+)\.", 1).cast("bigint").alias("doc_id"), "markdown")
+
+
+@query(f"""SELECT doc_id, '# ' || doc_id || '.pptx' || string_agg(chr(10) || chr(10) || '## Slide ' || k || CASE WHEN l = '' THEN '' ELSE chr(10) || chr(10) || l END, '' ORDER BY k) AS markdown FROM {TEXT_LINES} GROUP BY doc_id""")
+def pptx_extract_whole(s, d):
+    """As pptx_extract, of the whole texts, a slide for each line."""
+    from ..sources.files import documents
+    from .fixtures import files
+
+    out = documents(files(text_lines(s, d), "doc_id", "lines", "pptx"))
+    return out.select(F.regexp_extract("path", r"(\d+)\.", 1).cast("bigint").alias("doc_id"), "markdown")
+
+
 @query()
 def html_markdown(s, d):
     """Pages derived from all sources as Markdown; checked by tests, as the dialect is the converter's own."""

@@ -54,3 +54,14 @@ def test_ocr_results_carry_the_chunks(run):
     rows = [(k, s, k, 1, 2, "name", None if t is None else t.encode()) for k, s, t in ((1, 1, LONG), (2, 1, None), (3, 1, "  "), (4, 1, 'b "q" \\ \r\n'), (5, 2, None))]
     got = run("ocr_results_whole", "chunks", rows + rows[:1], "chunk_id long, source_id long, chunk_index int, start_page int, end_page int, chunk_name string, data binary")
     assert got[1].markdown == LONG + '\n\nb "q" \\ \r\n' and got[2].markdown == ""
+
+
+TEXT = "Größe 12 m², <b> & \"x\"\r\n\n  线路\t一\x0b二 \nстрока\rdrei\nстрока\rdrei\n\ufffe"
+
+
+@pytest.mark.parametrize("kind,want", [("docx", ["线路\t一二", "строка\rdrei"]), ("pptx", ["## Slide 2", "## Slide 3", "线路\t一二", "## Slide 4", "строка\rdrei", "## Slide 5", "строка\rdrei", "## Slide 6"])])
+def test_office_files_hold_whole_texts(run, kind, want):
+    got = run(f"{kind}_extract_whole", "documents", [(1, TEXT), (2, ""), (3, None), (4, "long " * 50_000)], "doc_id long, text string")
+    first = ["# 1." + kind] + ["## Slide 1"] * (kind == "pptx") + ['Größe 12 m², <b> & "x"']
+    assert got[1].markdown == "\n\n".join(first + want)
+    assert set(got) == {1, 2, 4} and len(got[4].markdown) > 249_000
