@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .lookalikes import skeleton
 
 SINGLE = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "cp866", "cp1250", "iso8859-2", "iso8859-15", "cp1253", "cp1254")
 DOUBLE = ("gbk", "big5", "shift_jis", "euc_kr", "euc_jp")
@@ -86,12 +87,17 @@ def is_clean(token: str) -> bool:
     return not LEADS.search(token) and not FOREIGN.search(token)
 
 
+def core_of(token: str) -> str:
+    """A token without the signs around it."""
+    return token.strip("“”‘’„«»–—…·¿¡‹›  ")
+
+
 def words_in(token: str) -> Iterator[str]:
-    """The clean words of a clean token: words with letters beyond ASCII, signs, Chinese pairs."""
+    """The clean words of a clean token: words with letters beyond ASCII or between signs, signs, Chinese pairs."""
     kinds = {m.lastgroup for m in PART.finditer(token)}
     if kinds <= {"lat", "sign", "num"}:
-        core = token.strip("“”‘’„«»–—…·¿¡‹›  ")
-        if NON_ASCII.search(core) and (len(core) >= 3 or core[0] in SIGNS):
+        core = core_of(token)
+        if NON_ASCII.search(core) and (len(core) >= 3 or core[0] in SIGNS) or core.isascii() and len(core) >= 3:
             yield core
     for m in PART.finditer(token):
         s = m[0]
@@ -215,6 +221,35 @@ def forms(word: str) -> dict[str, tuple[str, ...]]:
     return out
 
 
+# Chains by the encoding they end with, and what they may turn back into: one Latin or Cyrillic word and signs around it.
+BY_WRONG: dict[str, list[tuple[str, ...]]] = {}
+for _chain in dict.fromkeys(LATIN_CHAINS + LATIN_TWICE + CYRILLIC_CHAINS):
+    BY_WRONG.setdefault(_chain[-1], []).append(_chain)
+ONE_WORD = re.compile(rf"[{SIGNS}]*(?:[{LOWER}{UPPER}0-9’]+|[а-яёА-ЯЁ]+)[{SIGNS}]*")
+
+
+def origins(token: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
+    """(core, original, chain): the clean words that an odd token as a whole may have been, with the signs around them, and the
+    word that vouches for each if it is one of the corpus. A word with look-alike letters of another script is none."""
+    if len(token) < 3 or LOST in token or token.isascii() or is_clean(token) or skeleton(token).isascii():
+        return
+    for wrong, chains in BY_WRONG.items():
+        raw = encode(token, wrong)
+        if raw is None:
+            continue
+        for chain in chains:
+            try:
+                o = raw.decode(chain[-2])
+            except UnicodeDecodeError:
+                continue
+            if len(chain) > 2:
+                o = undo(o, chain[:-2])
+            if o and o != token and ONE_WORD.fullmatch(o) and is_clean(o) and form(o, chain) == token:
+                core = core_of(o)
+                if len(core) >= 3 and core[0].isalpha():
+                    yield core, o, chain
+
+
 def field_texts(markdown: str | None, metadata: str | None) -> Iterator[tuple[str, str]]:
     if markdown:
         yield "markdown", markdown
@@ -261,7 +296,7 @@ def scanned(text: str) -> tuple[set[str], set[str]]:
     han, simple = [], plain_han().fullmatch
     for token in set(RUN.findall(text)):
         if token.isascii():
-            if len(token) <= 12 and token.isalpha():
+            if token.isalpha():
                 clean.add(token)
         elif simple(token):
             han.append(token)
@@ -279,7 +314,8 @@ def scanned(text: str) -> tuple[set[str], set[str]]:
 
 def evidence(results: DataFrame, key: str = "result_id", least: int = 2) -> DataFrame:
     """(key, field, token, original, chain): the odd tokens of each row's markdown and metadata that are forms of clean words in at
-    least least texts. A token with U+FFFD that has no original comes with a null original."""
+    least least texts, or that turn back as a whole into a Latin or Cyrillic word of any text, with or without signs around it. A
+    token with U+FFFD that has no original comes with a null original."""
     kind = results.schema[key].dataType.simpleString()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,7 +325,7 @@ def evidence(results: DataFrame, key: str = "result_id", least: int = 2) -> Data
             for k, m, j in zip(b["k"], b["m"], b["j"]):
                 for field, t in field_texts(m, j):
                     if t.isascii():
-                        n.update({x for x in RUN.findall(t) if x.isalpha() and len(x) <= 12})
+                        n.update({x for x in RUN.findall(t) if x.isalpha()})
                         continue
                     clean, odd = scanned(t)
                     n.update(clean)
@@ -303,9 +339,17 @@ def evidence(results: DataFrame, key: str = "result_id", least: int = 2) -> Data
             rows = [(s, w, "+".join(c), n) for w, n in zip(b["w"], b["n"]) for s, c in forms(w).items()]
             yield pd.DataFrame(rows, columns=["w", "original", "chain", "m"])
 
+    def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(w, core, o, "+".join(c)) for w in b["w"] for core, o, c in origins(w)]
+            yield pd.DataFrame(rows, columns=["w", "core", "original", "chain"])
+
     seen = staged(results.select(F.col(key).alias("k"), F.col("markdown").alias("m"), F.col("metadata").alias("j")).mapInPandas(scan, f"k {kind}, field string, w string, n bigint"), "tokens")
-    words = seen.where("n > 0").groupBy("w").agg(F.sum("n").alias("n")).where(f"n >= {least}")
-    made = words.mapInPandas(table, "w string, original string, chain string, m bigint").groupBy("w").agg(F.max(F.struct("m", "original", "chain")).alias("best"))
+    every = seen.where("n > 0").groupBy("w").agg(F.sum("n").alias("n"))
+    words = every.where(f"n >= {least}")
+    whole = seen.where("n = 0").select("w").distinct().mapInPandas(back, "w string, core string, original string, chain string")
+    whole = whole.join(every.select(F.col("w").alias("core"), F.col("n").alias("m")), "core").select("w", "original", "chain", "m")
+    made = words.mapInPandas(table, "w string, original string, chain string, m bigint").unionByName(whole).groupBy("w").agg(F.max(F.struct("m", "original", "chain")).alias("best"))
     # A form that is itself a clean word as common as its original is no evidence.
     made = made.join(words, "w", "left").where("n IS NULL OR n * 4 < best.m").select("w", "best.original", "best.chain")
     odd = seen.where("n = 0").select("k", "field", "w").distinct()

@@ -43,3 +43,13 @@ def test_fields(spark):
     assert text[1, "markdown"] == CLEAN[0] and text[2, "metadata"] == CLEAN[1] and text[3, "markdown"] == CLEAN[2] and text[4, "markdown"] == CLEAN[3]
     assert text[6, "markdown"] == "según la partida" and text[8, "markdown"] == "编号PG-98506"
     assert G.affected(df.limit(0)).count() == 0
+
+
+def test_words_in_quotes_and_rare_words(spark):
+    rows = [(1, "Harnimko went, “Pelronko” stayed, ages; la clôturéfin, значимость.", None), (2, "“Harnimko” – 5 °C", None)]
+    bad = [garbled("“Harnimko”", "cp1252", "mac_roman"), garbled("„Pelronko", "cp1252", "cp850"), garbled("clôturéfin", "cp1252", "mac_roman"), garbled("значимость", "cp1251", "latin-1"), "naïve façade ìunknownwordî", "\u0440ages"]
+    rows += [(10 + k, f"It is 5 °C in {x} now", None) for k, x in enumerate(bad)]
+    df = spark.createDataFrame(rows, "result_id long, markdown string, metadata string")
+    assert {r.result_id for r in G.affected(df).collect()} == {10, 11, 12, 13}
+    got = {r.result_id: r.restored for r in G.restored(df).collect()}
+    assert got[10] == "It is 5 °C in “Harnimko” now" and got[13] == "It is 5 °C in значимость now"
