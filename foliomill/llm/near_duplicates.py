@@ -1,11 +1,11 @@
 """Groups and pairs of texts that share most of their content (problem 1).
 
-Method: size-banded tiles with hashed bitmap signatures. Texts become sets of 5-character pieces. Within a tile every two
+Method: tiles of buckets with hashed bitmap signatures. Texts become sets of 5-character pieces. Within a tile every two
 sets of compatible size are compared: the bits that one bitmap has and the other lacks bound the overlap from above, and
 only pairs that the bound lets through are intersected exactly, as sorted arrays.
 
 Size bands alone leave all pairs of a band to be compared, which no collection of this kind can afford. So tiles are made
-of size bands within buckets of min-wise signatures: ``BANDS`` keys of ``ROWS`` minima each. A pair with likeness t meets in fewer than
+of hash parts within buckets of min-wise signatures: ``BANDS`` keys of ``ROWS`` minima each. A pair with likeness t meets in fewer than
 ``MEET`` buckets with a probability of 2e-5 at t = 0.7, where 13 are expected, and 2e-8 at 0.75; unlike texts rarely meet
 twice. A bucket is cut into tiles of about ``TILE`` sets, so a hot one is spread over tasks; sets that occur several times are
 compared once.
@@ -186,7 +186,7 @@ def links(df: DataFrame, key: str = "result_id", text: str = "markdown", percent
     nodes = sets.groupBy("h").agg(F.min(F.struct("k", "x")).alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     rows = nodes.select("h", "n", F.posexplode("bands").alias("band", "v")).select("h", "n", F.expr("shiftleft(cast(band as bigint), 32) | (v & 4294967295)").alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    # Tiles are bands of size: the finer the more there are in a bucket, with a hash part so that equal sizes split too.
+    # Tiles are parts of a bucket by hash, the more the larger it is; sizes are compared within a tile only.
     tiled = rows.join(buckets, "key").withColumn("t", F.expr(f"cast(ceil(c / {TILE}D) as int)"))
     tiled = tiled.withColumn("tile", F.expr("pmod(xxhash64(h), t)").cast("int")).withColumn("o", F.explode(F.expr("sequence(0, t - 1)")))
     tiled = tiled.select("key", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "h", "n")
