@@ -375,6 +375,15 @@ def list_prefixes(s, d):
     return media.list_types(p, n, lv).select("id", "type", "prefix")
 
 
+@query("""SELECT o_orderkey AS id, CASE WHEN s.s_nationkey % 2 = 0 THEN 'ordered' ELSE 'bullet' END AS type, repeat('  ', (o_orderkey % 3)::INT) || CASE WHEN s.s_nationkey % 2 = 0 THEN '1. ' ELSE '- ' END AS prefix FROM orders LEFT JOIN supplier s ON s.s_suppkey = o_custkey AND o_orderkey % 3 < 2""")
+def list_prefixes_whole(s, d):
+    """As list_prefixes, with all suppliers as definitions; customers without a supplier of their number have none."""
+    p = read(s, d, "orders").select(F.lit(1).alias("doc"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("num_id"), (F.col("o_orderkey") % 3).cast("int").alias("ilvl"))
+    n = read(s, d, "supplier").select(F.lit(1).alias("doc"), F.col("s_suppkey").alias("num_id"), F.col("s_suppkey").alias("abstract_id"))
+    lv = read(s, d, "supplier").select(F.lit(1).alias("doc"), F.col("s_suppkey").alias("abstract_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ilvl"), F.when(F.col("s_nationkey") % 2 == 0, "ordered").otherwise("bullet").alias("type"))
+    return media.list_types(p, n, lv).select("id", "type", "prefix")
+
+
 @query(f"""SELECT source_id, array_to_string(list_transform(list_sort(list(struct_pack(o := chunk_index, m := body))), lambda x: x.m), chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS markdown FROM {CHUNKS} WHERE regexp_replace(body, '^{WS}+|{WS}+$', '', 'g') <> '' GROUP BY source_id""")
 def chunk_merge(s, d):
     c = read(s, d, "chunks").distinct().where("data IS NOT NULL").select("source_id", "chunk_index", F.decode("data", "UTF-8").alias("body"))
@@ -561,6 +570,13 @@ def media_by_reference(s, d):
     return media.by_reference(x.select("source_id", "xref").distinct(), x.where("page % 2 = 0").select("source_id", "xref", "page"), ["source_id", "xref"], "page", "xref").select("source_id", "xref", "place")
 
 
+@query(ORACLE["media_by_reference"].replace(" WHERE page % 2 = 0", ""))
+def media_by_reference_whole(s, d):
+    """As media_by_reference, with every reference."""
+    x = read(s, d, "page_images")
+    return media.by_reference(x.select("source_id", "xref").distinct(), x.select("source_id", "xref", "page"), ["source_id", "xref"], "page", "xref").select("source_id", "xref", "place")
+
+
 @query("SELECT source_id, source_path, size_bytes FROM (SELECT DISTINCT source_id, source_path, size_bytes FROM sources) WHERE NOT coalesce(" + SUFFIX.format("source_path") + " IN ('pdf', 'html') AND size_bytes < 200000, false)")
 def small_previews(s, d):
     """Leaves out small files of two types, as previews of formulas are left out."""
@@ -577,6 +593,15 @@ def formula_or_preview(s, d):
     return media.formula_or_preview(o, f, p, ["id"]).select("id", "text")
 
 
+@query("""SELECT o.o_orderkey AS id, CASE WHEN c.c_custkey IS NOT NULL THEN '$x_{' || c.c_nationkey || '}$' WHEN p.p_partkey IS NOT NULL THEN '![formula](p' || p.p_partkey || '.png)' ELSE '' END AS text FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_orderkey LEFT JOIN part p ON p.p_partkey = o.o_orderkey""")
+def formula_or_preview_whole(s, d):
+    """As formula_or_preview, with all customers as formulas and all parts as previews."""
+    o = read(s, d, "orders").select(F.col("o_orderkey").alias("id"))
+    f = read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("x_{"), F.col("c_nationkey"), F.lit("}")).alias("latex"))
+    p = read(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("p"), F.col("p_partkey"), F.lit(".png")).alias("preview"))
+    return media.formula_or_preview(o, f, p, ["id"]).select("id", "text")
+
+
 @query(f"""SELECT result_id, coalesce(file_type, 'x') || CASE WHEN len(coalesce(media_paths, [])) > 0 THEN chr(10) || '媒体路径: ' || array_to_string(media_paths, ', ') ELSE '' END || CASE WHEN len(coalesce(warnings, [])) > 0 THEN chr(10) || chr(10) || '⚠️ 警告:' || chr(10) || array_to_string(list_transform(warnings, lambda w: '- ' || w), chr(10)) ELSE '' END AS payload FROM {RES}""")
 def agent_payload(s, d):
     none = F.array().cast("array<string>")

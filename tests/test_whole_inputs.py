@@ -65,3 +65,9 @@ def test_office_files_hold_whole_texts(run, kind, want):
     first = ["# 1." + kind] + ["## Slide 1"] * (kind == "pptx") + ['Größe 12 m², <b> & "x"']
     assert got[1].markdown == "\n\n".join(first + want)
     assert set(got) == {1, 2, 4} and len(got[4].markdown) > 249_000
+
+
+def test_references_on_odd_pages_count(run, spark, tmp_path):
+    run("media_by_reference_whole", "page_images", [(1, 3, 7), (1, 1, 9), (1, 2, 8)], "source_id long, page int, xref int")
+    got = QUERIES["media_by_reference_whole"](spark, str(tmp_path)).collect()
+    assert {r.xref: r.place for r in got} == {9: 1, 8: 2, 7: 3}
