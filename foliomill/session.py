@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,24 +36,45 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+BROADCAST_BYTES = 10_000_000
+
+
+def sized_broadcasts(spark: SparkSession) -> None:
+    """Let no table be broadcast on an estimate: the planner's guess for a scan of a few wide columns is far too low. Adaptive
+    execution still broadcasts a side that it has measured to be under BROADCAST_BYTES."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", BROADCAST_BYTES)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session is gone; the folder's owner cleans up
+        pass
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, is computed once, and any
-    executor can read it again after a loss. The table is removed when the driver ends."""
+    executor can read it again after a loss. The table is removed by released() or when the driver ends."""
     spark = df.sparkSession
+    sized_broadcasts(spark)
     path = f"{shared_folder(spark)}/foliomill-{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
+    atexit.register(removed, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
-    def drop() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session is gone; the folder's owner cleans up
-            pass
 
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
+def released(df: DataFrame) -> None:
+    """Remove the table of a staged DataFrame that nothing reads any more."""
+    path = _PATHS.pop(df, None)
+    if path:
+        removed(df.sparkSession, path)
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    sized_broadcasts(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
