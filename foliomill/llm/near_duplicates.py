@@ -1,14 +1,18 @@
 """Groups and pairs of texts that share most of their content (problem 1).
 
-Method: tiles of buckets with hashed bitmap signatures. Texts become sets of 5-character pieces. Within a tile every two
-sets of compatible size are compared: the bits that one bitmap has and the other lacks bound the overlap from above, and
-only pairs that the bound lets through are intersected exactly, as sorted arrays.
+Method: size-banded tiles with hashed bitmap signatures. Texts become sets of 5-character pieces. Sets meet in tiles of sizes
+that may be alike enough; the bits that one bitmap has and the other lacks bound the overlap from above, and only pairs that
+the bound lets through are intersected exactly, as sorted arrays.
 
-Size bands alone leave all pairs of a band to be compared, which no collection of this kind can afford. So tiles are made
-of hash parts within buckets of min-wise signatures: ``BANDS`` keys of ``ROWS`` minima each. A pair with likeness t meets in fewer than
+Size bands alone leave all pairs of neighbouring bands to be compared, and an exact prefix filter is no way out either: where
+texts share a language the rarest 30 % of a text's pieces are as common as the corpus is large. So sets meet only within buckets of
+min-wise signatures, ``BANDS`` keys of ``ROWS`` minima each, and the bands and tiles divide a bucket. A pair with likeness t meets in fewer than
 ``MEET`` buckets with a probability of 2e-5 at t = 0.7, where 13 are expected, and 2e-8 at 0.75; unlike texts rarely meet
-twice. A bucket is cut into tiles of about ``TILE`` sets, so a hot one is spread over tasks; sets that occur several times are
-compared once.
+twice.
+
+A bucket of more than ``TILE`` sets is cut into tiles of about that many by size band, then by hash, and two tiles meet only
+if their bands are the same or neighbours; so a hot bucket is spread over tasks. Sets that occur several times are compared
+once. For the exact step pairs are gathered in blocks, each of which gets a text once, however many partners it has there.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import released, staged
 from .within import pairs_within
 
 ROWS, BANDS, MEET, HASHES, BITS, TILE, WIDTH = 6, 108, 2, 9, 2048, 256, 5
+BLOCK = 4_000_000  # pieces of all texts of a part of a block; 32 MB of sorted arrays
 BINS = ROWS * BANDS // HASHES
 M = np.uint64(0x9E3779B97F4A7C15)
 MINIMA = np.array([0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0x9E3779B1, 0xB5297A4D, 0x68E31DA5, 0x1B56C4E9, 0x7FEB352D], np.uint32)
@@ -140,39 +145,76 @@ def tile_pairs(percent: int):
     return run
 
 
+def tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, i, j, tile, h, n): each set of a bucket under every pair of tiles (i, j) that it is compared in. rows (h, n, key)
+    are distinct.
+
+    A bucket of at most TILE sets is one tile. Larger ones are cut by size band, of which compatible sizes are at most one
+    apart, and each band by hash into parts of about TILE sets; the number of a band's parts comes from its own count.
+    """
+    step = f"(ln(100 / {percent}D) + 1e-6)"
+    buckets = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    met = rows.join(buckets.hint("merge"), "key")
+    small = met.where(f"c <= {TILE}").select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("tile"), "h", "n")
+    large = met.where(f"c > {TILE}").withColumn("z", F.expr(f"cast(floor(ln(n) / {step}) as int)"))
+    parts = large.groupBy("key", "z").agg(F.expr(f"cast(ceil(count(*) / {TILE}D) as int)").alias("t"))
+    parts = parts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("z", "t"))).alias("parts"))  # as many entries as bands
+    large = large.join(parts.hint("merge"), "key").withColumn("tile", F.expr("shiftleft(cast(z as bigint), 32) | pmod(xxhash64(h), parts[z])"))
+    others = [f"coalesce(transform(sequence(0, parts[z {d}] - 1), o -> shiftleft(cast(z {d} as bigint), 32) | o), array())" for d in ("- 1", "+ 0", "+ 1")]
+    large = large.withColumn("o", F.explode(F.expr(f"concat({', '.join(others)})")))
+    return small.unionByName(large.select("key", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "h", "n"))
+
+
 def bounded(percent: int):
     """Keep the pairs whose overlap can be large enough by their bitmaps."""
-    ones = np.array([bin(x).count("1") for x in range(65536)], np.uint8)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            x, y = (np.frombuffer(b"".join(b[c]), np.uint16).reshape(len(b), -1) for c in ("bits_a", "bits_b"))
+            x, y = (np.frombuffer(b"".join(b[c]), np.uint64).reshape(len(b), -1) for c in ("bits_a", "bits_b"))
             na, nb = b["na"].to_numpy(np.int64), b["nb"].to_numpy(np.int64)
-            over = np.minimum(na - ones[x & ~y].sum(axis=1, dtype=np.int64), nb - ones[y & ~x].sum(axis=1, dtype=np.int64))
+            over = np.minimum(na - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
             keep = over * 100 >= percent * (na + nb - over)
             yield b.loc[keep, ["a", "b"]]
 
     return run
 
 
+def blocks(near: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(block, i, j, a, b): pairs gathered so that those of one family of copies mostly fall into one block, under the smallest
+    set that either side is paired with. A block is cut into parts of about BLOCK pieces, and two parts meet under a key of
+    their own, so no task holds more than two parts' texts. sizes: (h, n)."""
+    both = near.select("a", "b").union(near.select("b", "a")).toDF("h", "o")
+    label = both.groupBy("h").agg(F.least(F.min("h"), F.min("o")).alias("l"))
+    side = lambda c: label.select(F.col("h").alias(c), F.col("l").alias(f"l_{c}")).hint("merge")
+    x = near.join(side("a"), "a").join(side("b"), "b").select(F.least("l_a", "l_b").alias("block"), "a", "b")
+    ends = x.select("block", F.explode(F.array("a", "b")).alias("h")).distinct().join(sizes.hint("merge"), "h")
+    parts = ends.groupBy("block").agg(F.expr(f"cast(ceil(sum(n) / {BLOCK}D) as int)").alias("t"))
+    x = x.join(parts.hint("merge"), "block").withColumn("p", F.expr("pmod(xxhash64(a), t)")).withColumn("q", F.expr("pmod(xxhash64(b), t)"))
+    return x.select("block", F.least("p", "q").cast("int").alias("i"), F.greatest("p", "q").cast("int").alias("j"), "a", "b")
+
+
 def verified(percent: int):
-    """Exact intersection of sorted arrays. Rows come sorted by a, whose array is made once."""
+    """Exact intersection of sorted arrays. Rows come sorted by block and part, its texts (h, t) before its pairs (a, b)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, own = None, None
-        for b in batches:
-            keep = []
-            for a, x, y in zip(b["a"], b["text_a"], b["text_b"]):
-                if a != last:
-                    last, own = a, shingles(plain(x))
-                other = shingles(plain(y))
-                both = np.concatenate((own, other))
+        at, sets = None, {}
+        for r in batches:
+            out = []
+            for block, i, j, h, t, a, b in zip(r["block"], r["i"], r["j"], r["h"], r["t"], r["a"], r["b"]):
+                if (block, i, j) != at:
+                    at, sets = (block, i, j), {}
+                if t is not None:
+                    sets[h] = shingles(plain(t))
+                    continue
+                x, y = sets[a], sets[b]
+                both = np.concatenate((x, y))
                 both.sort(kind="stable")
                 o = int((both[1:] == both[:-1]).sum())
-                keep.append(o * 100 >= percent * (len(own) + len(other) - o))
-            yield b.loc[keep, ["a", "b"]]
+                if o * 100 >= percent * (len(x) + len(y) - o):
+                    out.append((a, b))
+            yield pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
@@ -185,20 +227,20 @@ def links(df: DataFrame, key: str = "result_id", text: str = "markdown", percent
     members = sets.select("k", "h").distinct()
     nodes = sets.groupBy("h").agg(F.min(F.struct("k", "x")).alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     rows = nodes.select("h", "n", F.posexplode("bands").alias("band", "v")).select("h", "n", F.expr("shiftleft(cast(band as bigint), 32) | (v & 4294967295)").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    # Tiles are parts of a bucket by hash, the more the larger it is; sizes are compared within a tile only.
-    tiled = rows.join(buckets, "key").withColumn("t", F.expr(f"cast(ceil(c / {TILE}D) as int)"))
-    tiled = tiled.withColumn("tile", F.expr("pmod(xxhash64(h), t)").cast("int")).withColumn("o", F.explode(F.expr("sequence(0, t - 1)")))
-    tiled = tiled.select("key", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "h", "n")
-    near = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(tile_pairs(percent), "a bigint, b bigint, c bigint")
+    near = tiles(rows, percent).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(tile_pairs(percent), "a bigint, b bigint, c bigint")
     near = near.groupBy("a", "b").agg(F.sum("c").alias("c")).where(f"c >= {MEET}").select("a", "b")
     side = nodes.select("h", "n", "bits")
-    near = near.join(side.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a").join(side.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
+    near = near.join(side.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")).hint("merge"), "a")
+    near = near.join(side.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")).hint("merge"), "b")
     near = staged(near.mapInPandas(bounded(percent), "a bigint, b bigint"), "near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(nodes.select("h", "one.k", "one.x"), "h")
-    texts = df.select(F.col(key).alias("k"), F.xxhash64(text).alias("x"), F.col(text).alias("t")).join(wanted, ["k", "x"]).groupBy("h").agg(F.first("t").alias("t"))
-    both = near.join(texts.select(F.col("h").alias("a"), F.col("t").alias("text_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("t").alias("text_b")), "b")
-    return members, both.sortWithinPartitions("a").mapInPandas(verified(percent), "a bigint, b bigint")
+    own = sets.groupBy("h").agg(F.min(F.struct("k", "x")).alias("one"), F.first("n").alias("n"))
+    pairs_ = blocks(near, own.select("h", "n"))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(own.hint("merge"), "h").select("h", "one.k", "one.x")
+    texts = df.select(F.col(key).alias("k"), F.xxhash64(text).alias("x"), F.col(text).alias("t")).join(wanted.hint("merge"), ["k", "x"]).groupBy("h").agg(F.first("t").alias("t"))
+    held = pairs_.select("block", "i", "j", F.explode(F.array("a", "b")).alias("h")).distinct().join(texts.hint("merge"), "h")
+    both = held.select("block", "i", "j", "h", "t", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("kind")).unionByName(
+        pairs_.select("block", "i", "j", F.lit(0).cast("long").alias("h"), F.lit(None).cast("string").alias("t"), "a", "b", F.lit(1).alias("kind")))
+    return members, both.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "kind").drop("kind").mapInPandas(verified(percent), "a bigint, b bigint")
 
 
 def pairs(df: DataFrame, key: str = "result_id", text: str = "markdown", percent: int = 70, least: int = 200) -> DataFrame:
@@ -218,14 +260,15 @@ def groups(df: DataFrame, key: str = "result_id", text: str = "markdown", percen
     members, found = staged(members, "members"), staged(found, "links")
     label = members.groupBy("h").agg(F.min("k").alias("g"))
     both = found.union(found.select("b", "a")).toDF("h", "o")
-    label = staged(label, "label")
+    label = before = staged(label, "label")
     for _ in range(rounds):
-        low = both.join(label.select(F.col("h").alias("o"), "g"), "o").groupBy("h").agg(F.min("g").alias("low"))
+        low = both.join(label.select(F.col("h").alias("o"), "g").hint("merge"), "o").groupBy("h").agg(F.min("g").alias("low"))
         stepped = label.join(low, "h", "left").select("h", "g", F.least("g", F.coalesce("low", "g")).alias("s"))
         first = members.groupBy("k").agg(F.min("h").alias("fh"))  # a label is a key; follow it to the label of its own set
         hop = stepped.groupBy("s").agg(F.count("*").alias("_")).join(first.select(F.col("k").alias("s"), "fh"), "s").join(label.select(F.col("h").alias("fh"), F.col("g").alias("t")), "fh").select("s", "t")
         fresh = staged(stepped.join(hop, "s", "left").select("h", F.least("s", F.coalesce("t", "s")).alias("g"), F.col("g").alias("was")), "label")
-        label = fresh.select("h", "g")
+        released(before)
+        before, label = fresh, fresh.select("h", "g")
         if fresh.where("g <> was").isEmpty():
             break
     else:
