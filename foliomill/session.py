@@ -75,6 +75,13 @@ def released(df: DataFrame) -> None:
         removed(df.sparkSession, path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if its files give fewer; for passes that cost far more than moving the rows.
+    A large table has more partitions than cores and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     sized_broadcasts(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
