@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import released, staged
+from ..session import released, spread, staged
 from .within import pairs_within
 
 ROWS, BANDS, MEET, HASHES, BITS, TILE, WIDTH = 6, 108, 2, 9, 2048, 256, 5
@@ -107,7 +107,7 @@ def signed(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["k", "x", "h", "n", "bits", "bands"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.xxhash64(text).alias("x"), F.col(text).alias("t")).where("k IS NOT NULL AND length(t) >= 5").mapInPandas(run, f"k {kind}, x bigint, h bigint, n int, bits binary, bands array<int>")
+    return spread(df.select(F.col(key).alias("k"), F.xxhash64(text).alias("x"), F.col(text).alias("t")).where("k IS NOT NULL AND length(t) >= 5")).mapInPandas(run, f"k {kind}, x bigint, h bigint, n int, bits binary, bands array<int>")
 
 
 def tile_pairs(percent: int):
