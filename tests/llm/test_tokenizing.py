@@ -31,8 +31,39 @@ def test_ids_equal_the_library(spark):
     assert tokenizing.token_ids(df.limit(0)).count() == 0
 
 
+def own(**more):
+    file, pattern = tokenizing.paths()
+    return tokenizing.Bpe(tokenizing.vocabulary(file), pattern, **more)
+
+
+def test_long_words():
+    """One word of a megabyte without a place to cut, and many of some thousand bytes."""
+    import resource
+
+    r = random.Random(9)
+    one = ["ab" * 500_000, "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(50_000)), "a" * 100_001, "-" * 7_000, "=-" * 901 + "=" * 77, "0123456789" * 3001]
+    parts = ["".join(r.choice("etaoinshrdlu") for _ in range(50)) for _ in range(20)]
+    many = ["".join(r.choice(parts) for _ in range(100)) for _ in range(4096)]
+    b = own()
+    assert b.encode_batch(one) == reference(one)
+    assert b.encode_batch(many) == reference(many)
+    assert not any(len(w) > tokenizing.LONG for w in b.known) and not any(len(p) > tokenizing.LONG for p in b.pieces)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 3_000_000  # KB, of the test process as a whole
+
+
+def test_rounds_without_recursion():
+    b = own()
+    words = ["ab" * 40, "internationalisation", "xyzzy" * 9]
+    assert [list(b.one(w.encode())) for w in words] == reference(words)
+
+
+def test_portions(monkeypatch):
+    monkeypatch.setattr(tokenizing, "BATCH_BYTES", 10)
+    assert list(tokenizing.portions([None, "a" * 12, "b", "", "c" * 9])) == [(0, 2), (2, 5)] and list(tokenizing.portions([])) == []
+
+
 def test_memo_is_bounded():
-    b = tokenizing.Bpe(*tokenizing.paths(), memo=10)
+    b = own(memo=10)
     texts = [f"word{k} and {k * 7} Übergröße{k}" for k in range(60)]
     assert [x for t in texts for x in b.encode_batch([t])] == reference(texts)
     assert len(b.known) < 40
