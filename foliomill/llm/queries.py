@@ -35,7 +35,7 @@ def pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return pieces(spark, d).where("over").select("chunk_id").distinct()
+    return pieces(spark, d).where("n_pieces > 1").select("chunk_id").distinct()
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Cutting items larger than the limits at natural boundaries, with an overlap between pieces (problem 3).
 
 Method: agglomerative merging. An item starts as atomic segments, cut at every possible boundary (page, paragraph, sentence,
-word, and, where a stretch offers none, characters). Adjacent pairs wait in a heap by the strength of the boundary between
+word, and, within words of more than GRAIN bytes, characters). Adjacent pairs wait in a heap by the strength of the boundary between
 them; the weakest are merged first, as long as the merged segment, with the overlap in front, fits both limits.
 """
 
@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Boundaries by strength. A match ends where a piece may end; bytes, so that sizes are those of the limits.
 PAGE = re.compile(rb"\x0c")
 PARAGRAPH = re.compile(rb"(?:\r\n|\r|\n|\xe2\x80\xa9|\xe2\x80\xa8|\xc2\x85)+")
 SENTENCE = re.compile(rb"(?:[.!?]+[\"')\]]*(?:\xe2\x80[\x99\x9d])*[ \t]+|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f|\xef\xbd\xa1)(?:\xe3\x80\x8d|\xe2\x80[\x99\x9d])*)")
 WORD = re.compile(rb"(?:[ \t]+|\xe3\x80\x80|\xc2\xa0|\xef\xbc\x8c|\xef\xbc\x9b|\xe3\x80\x81)+")
 LEVELS = ((4, PAGE), (3, PARAGRAPH), (2, SENTENCE), (1, WORD))
-CELL = 64  # bytes of an atomic segment where no boundary is near
+GRAIN = 64  # bytes of an atomic segment within a word that is longer
 
 
 def char_start(data: bytes, at: int) -> int:
@@ -43,16 +45,14 @@ def atoms(data: bytes, most: int) -> tuple[list[int], list[int]]:
                 strength[m.end()] = level
     ends, out = sorted(strength), []
     start = 0
-    for e, after in zip(ends, [*ends[1:], len(data)]):
+    for e in ends:
         while e - start > most:
             cut = char_start(data, start + most)
             cut = cut if cut > start else start + most
             out.append((cut, 0))
             start = cut
-        # Words that fit in an atom together are one: theirs are the boundaries that would go first.
-        if strength[e] > 1 or after - start > most:
-            out.append((e, strength[e]))
-            start = e
+        out.append((e, strength[e]))
+        start = e
     return [e for e, _ in out], [s for _, s in out]
 
 
@@ -104,7 +104,8 @@ def pieces(data: bytes | None, start_page: int | None, end_page: int | None, lim
     if not over:
         return pages, False, [(low, low + pages - 1, 0, len(data))]
     page = Pages(data, pages)
-    overlap = min(overlap, limit // 2)
+    if 2 * overlap > limit:
+        raise ValueError("overlap must be at most half of limit")
     out = []
     for a, b in merged(data, page, limit, overlap, page_limit):
         begin = front(data, a, overlap)
@@ -120,42 +121,49 @@ def pieces(data: bytes | None, start_page: int | None, end_page: int | None, lim
 
 def merged(data: bytes, page: Pages, limit: int, overlap: int, page_limit: int) -> list[tuple[int, int]]:
     """(start, end) of the pieces of data, without their overlaps. Every piece fits in limit bytes together with up to
-    overlap bytes in front, and touches at most page_limit pages."""
+    overlap bytes in front, and touches at most page_limit pages; the pages of the overlap count unless page_limit is 1."""
     room = max(1, limit - overlap)
     # An atom may not lie on more pages than a piece, either.
-    ends, strength = atoms(data, max(1, min(CELL, room, len(data) * page_limit // page.pages)))
+    ends, edge = atoms(data, max(1, min(GRAIN, room, len(data) * page_limit // page.pages)))
     n = len(ends)
     start, end = [0, *ends[:-1]], list(ends)
+    first = [page(max(0, x - overlap) if page_limit > 1 else x) for x in start]
+    last = [page.last(x) for x in ends]  # of a segment's end, which is that of its last atom
     left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-    edge = list(strength)  # of the boundary at a segment's end
+    # A pair waits under the boundary between its two segments, then its size; one that has changed meanwhile is passed over.
     heap = [(edge[i], end[i + 1] - start[i], i, end[i], end[i + 1]) for i in range(n - 1)]
     heapq.heapify(heap)
+    push, pop = heapq.heappush, heapq.heappop
     while heap:
-        _, size, i, ei, ej = heapq.heappop(heap)
+        _, size, i, ei, ej = pop(heap)
         j = right[i]
         if not alive[i] or j >= n or end[i] != ei or end[j] != ej:
             continue
-        if size > (room if start[i] else limit) or page.last(ej) - page(start[i]) >= page_limit:
+        if size > (room if start[i] else limit) or last[j] - first[i] >= page_limit:
             continue
-        end[i], edge[i], alive[j], right[i] = ej, edge[j], False, right[j]
-        if right[j] < n:
-            left[right[j]] = i
-            heapq.heappush(heap, (edge[i], end[right[j]] - start[i], i, end[i], end[right[j]]))
+        k = right[j]
+        end[i], edge[i], last[i], alive[j], right[i] = ej, edge[j], last[j], False, k
+        if k < n:
+            left[k] = i
+            if (size := end[k] - start[i]) <= limit:
+                push(heap, (edge[i], size, i, ej, end[k]))
         h = left[i]
-        if h >= 0:
-            heapq.heappush(heap, (edge[h], end[i] - start[h], h, end[h], end[i]))
+        if h >= 0 and (size := ej - start[h]) <= limit:
+            push(heap, (edge[h], size, h, end[h], ej))
     return [(start[i], end[i]) for i in range(n) if alive[i]]
 
 
 def split(df: DataFrame, limit: int, page_limit: int, overlap: int, key: str = "chunk_id", start: str = "start_page", end: str = "end_page", data: str = "data") -> DataFrame:
     """(key, piece INT, n_pieces INT, over BOOLEAN, start_page INT, end_page INT, data BINARY): the pieces of every row.
 
-    A row within both limits comes out whole, as one piece. Null or empty data gives pieces without data, one for each
+    An overlap starts at a boundary where one is near, so it may be shorter than overlap by a quarter, and it is cut short
+    where it would lie on one page more than page_limit allows (with a page_limit of 1: at every page). overlap must be at most half
+    of limit. A row within both limits comes out whole, as one piece. Null or empty data gives pieces without data, one for each
     page_limit pages. Pages run from start to end in either order; where one is null, form feeds plus one count. Without
     overlaps the pieces of a row, put together, are its data. Equal rows come out equally. Other columns are not read.
     """
-    if limit < 8 or page_limit < 1 or overlap < 0:
-        raise ValueError("limit must be at least 8, page_limit at least 1, overlap not negative")
+    if limit < 8 or page_limit < 1 or not 0 <= 2 * overlap <= limit:
+        raise ValueError("limit must be at least 8, page_limit at least 1, overlap between 0 and half of limit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,5 +176,6 @@ def split(df: DataFrame, limit: int, page_limit: int, overlap: int, key: str = "
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k", "piece", "n_pieces", "over", "start_page", "end_page", "data"])
 
     kind = df.schema[key].dataType.simpleString()
-    done = df.select(F.col(key).alias("k"), F.col(start).cast("int").alias("s"), F.col(end).cast("int").alias("e"), F.col(data).cast("binary").alias("d")).mapInArrow(run, f"k {kind}, piece int, n_pieces int, over boolean, start_page int, end_page int, data binary")
+    rows = df.select(F.col(key).alias("k"), F.col(start).cast("int").alias("s"), F.col(end).cast("int").alias("e"), F.col(data).cast("binary").alias("d"))
+    done = spread(rows).mapInArrow(run, f"k {kind}, piece int, n_pieces int, over boolean, start_page int, end_page int, data binary")
     return done.withColumnRenamed("k", key)

@@ -61,3 +61,27 @@ def test_defined_results(spark):
     assert S.split(df.limit(0), 300, 4, 40).count() == 0
     with pytest.raises(ValueError):
         S.split(df, 4, 4, 0)
+    with pytest.raises(ValueError):
+        S.split(df, 100, 4, 51)
+
+
+def test_weakest_boundary_goes_first():
+    """Atoms are words; a sentence's end outlives all word boundaries around it."""
+    data = b"aa bb cc. dd ee ff gg. hh ii jj kk ll mm. nn oo pp."
+    ends, strength = S.atoms(data, 64)
+    assert len(ends) == 16 and strength.count(2) == 3
+    assert [data[x:y] for _, _, x, y in check(data, 1, 1, 24, 9, 0)] == [b"aa bb cc. dd ee ff gg. ", b"hh ii jj kk ll mm. ", b"nn oo pp."]
+
+
+def test_over_means_several_pieces():
+    r = random.Random(8)
+    for _ in range(80):
+        data = "".join(r.choice("ab \f\n.") for _ in range(r.randrange(900))).encode()
+        pages, over, parts = S.pieces(data, r.choice([None, 1]), r.choice([None, 2, 8]), 300, 4, 40)
+        assert over == (len(parts) > 1)
+
+
+def test_overlap_keeps_room_for_its_page():
+    data = b"\f".join(b"page words here " * 3 for _ in range(12))
+    parts = check(data, 1, 12, 4000, 4, 20)
+    assert all(q[3] > p[2] for q, p in zip(parts, parts[1:]))
