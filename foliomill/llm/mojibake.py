@@ -21,14 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import spread, staged
 from .lookalikes import skeleton
 
 SINGLE = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "cp866", "cp1250", "iso8859-2", "iso8859-15", "cp1253", "cp1254")
 DOUBLE = ("gbk", "big5", "shift_jis", "euc_kr", "euc_jp")
 # (right, wrong) for words of letters and signs, of Chinese and of Cyrillic; "a+b" applies two chains in a row.
 LATIN_CHAINS = [("utf-8", x) for x in SINGLE + DOUBLE] + [(r, w) for r in ("cp1252", "cp850", "mac_roman", "cp437") for w in ("cp1252", "mac_roman", "cp850", "cp437", "cp1251", "koi8-r", "cp866", "cp1250", "cp1253", "utf-8", "gbk", "big5", "shift_jis") if r != w]
-LATIN_TWICE = [("utf-8", a, "utf-8", b) for a in ("cp1252", "latin-1") for b in ("cp1252", "latin-1")]
+TWICE = [("utf-8", a, "utf-8", b) for a in ("cp1252", "latin-1") for b in ("cp1252", "latin-1")]
 CYRILLIC_CHAINS = [("utf-8", x) for x in SINGLE + DOUBLE] + [(r, w) for r in ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic") for w in ("latin-1", "cp1252", "cp1251", "koi8-r", "cp866", "mac_roman", "cp437", "cp850", "mac_cyrillic", "iso8859-5", "utf-8", "gbk") if r != w]
 HAN_CHAINS = [("utf-8", x) for x in SINGLE + DOUBLE] + [(r, w) for r in ("gbk", "big5") for w in ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "cp866", "gbk", "big5", "shift_jis", "euc_kr", "utf-8") if r != w]
 FONT = ("font", "font")  # a PDF font whose Latin letters lie in row A0 of its table instead of row A3
@@ -106,29 +106,28 @@ def words_in(token: str) -> Iterator[str]:
         elif m.lastgroup == "sign":
             yield from s
         elif m.lastgroup == "han":
-            yield from (s[k : k + 2] for k in range(len(s) - 1) if not rare(s[k : k + 2]))
+            yield from (s[k : k + 2] for k in range(len(s) - 1))
 
 
 def odd_tokens(token: str) -> Iterator[str]:
     """What a token that is not clean is looked up by: itself, its stretches beyond ASCII, and pieces of these as long as the
-    forms of two Chinese characters."""
-    if len(token) <= 60:
-        yield token
+    forms of two Chinese characters, wrong once or twice."""
+    yield token
     for m in FOUNDER.finditer(token):
         yield m[0]
     for m in WIDE.finditer(token):
         s = m[0]
         if s != token and CYRILLIC_OR_GREEK.fullmatch(s):  # look-alike letters within a word
             continue
-        if 2 <= len(s) <= 60 and s != token:
+        if len(s) >= 2 and s != token:
             yield s
-        for width in (2, 3, 4, 6):
+        for width in (2, 3, 4, 6, 12):
             for shift in (0, 1) if width < 4 else (0,):
                 for k in range(shift, len(s) - width + 1, width):
                     yield s[k : k + width]
     if not token.isascii():
         core = token.strip("“”‘’„«»–—…·")
-        if core != token and 2 <= len(core) <= 60:
+        if core != token and len(core) >= 2:
             yield core
 
 
@@ -204,12 +203,12 @@ def chains_of(word: str) -> list[tuple[str, ...]]:
         return [FONT]
     c = next(c for c in word if ord(c) > 127)
     if "㐀" <= c <= "鿿":
-        return HAN_CHAINS
+        return HAN_CHAINS + TWICE
     if "Ѐ" <= c <= "ӿ":
-        return CYRILLIC_CHAINS
-    both = LATIN_CHAINS + LATIN_TWICE
+        return CYRILLIC_CHAINS + TWICE
+    both = LATIN_CHAINS + TWICE
     # Chinese signs are written by Chinese encodings, all others by Western ones.
-    return HAN_CHAINS if c in "、。，；：！？（）《》【】「」『』％￥" else both
+    return HAN_CHAINS + TWICE if c in "、。，；：！？（）《》【】「」『』％￥" else both
 
 
 def forms(word: str) -> dict[str, tuple[str, ...]]:
@@ -223,7 +222,7 @@ def forms(word: str) -> dict[str, tuple[str, ...]]:
 
 # Chains by the encoding they end with, and what they may turn back into: one Latin or Cyrillic word and signs around it.
 BY_WRONG: dict[str, list[tuple[str, ...]]] = {}
-for _chain in dict.fromkeys(LATIN_CHAINS + LATIN_TWICE + CYRILLIC_CHAINS):
+for _chain in dict.fromkeys(LATIN_CHAINS + TWICE + CYRILLIC_CHAINS):
     BY_WRONG.setdefault(_chain[-1], []).append(_chain)
 ONE_WORD = re.compile(rf"[{SIGNS}]*(?:[{LOWER}{UPPER}0-9’]+|[а-яёА-ЯЁ]+)[{SIGNS}]*")
 
@@ -312,10 +311,29 @@ def scanned(text: str) -> tuple[set[str], set[str]]:
     return clean, odd
 
 
-def evidence(results: DataFrame, key: str = "result_id", least: int = 2) -> DataFrame:
-    """(key, field, token, original, chain): the odd tokens of each row's markdown and metadata that are forms of clean words in at
-    least least texts, or that turn back as a whole into a Latin or Cyrillic word of any text, with or without signs around it. A
-    token with U+FFFD that has no original comes with a null original."""
+SALTS, HEAVY = 64, 1000  # a token with more than 1 / HEAVY of all odd tokens' rows is spread over SALTS keys
+
+
+def delivered(results: DataFrame, key: str) -> DataFrame:
+    """(k, m, j): key, markdown and metadata of each key once."""
+    return results.select(F.col(key).alias("k"), "markdown", "metadata").groupBy("k").agg(F.first("markdown").alias("m"), F.first("metadata").alias("j"))
+
+
+def matched(odd: DataFrame, made: DataFrame) -> DataFrame:
+    """odd (k, field, w) joined with made (w, original, chain). A token that a large part of all texts holds is met under
+    several keys; there are fewer than HEAVY of these, so their hashes may be broadcast."""
+    count = odd.groupBy("w").agg(F.count("*").alias("c"))
+    made = made.join(count, "w")
+    total = count.agg(F.sum("c")).head()[0] or 0
+    heavy = F.broadcast(count.where(F.col("c") * HEAVY > total).select(F.xxhash64("w").alias("h"), F.lit(True).alias("heavy")))
+    odd = odd.withColumn("h", F.xxhash64("w")).join(heavy, "h", "left").withColumn("salt", F.expr(f"if(heavy, pmod(xxhash64(k), {SALTS}), 0)").cast("int"))
+    made = made.withColumn("salt", F.explode(F.expr(f"if(c * {HEAVY} > {total}, sequence(0, {SALTS} - 1), array(0))")))
+    return odd.join(made, ["w", "salt"]).select("k", "field", "w", "original", "chain")
+
+
+def evidence(results: DataFrame, key: str = "result_id") -> DataFrame:
+    """(key, field, token, original, chain): the odd tokens of each row's markdown and metadata that are forms of a clean word of any
+    text, or that turn back as a whole into one with signs around it. A token with U+FFFD comes with a null original, too."""
     kind = results.schema[key].dataType.simpleString()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,22 +357,28 @@ def evidence(results: DataFrame, key: str = "result_id", least: int = 2) -> Data
             rows = [(s, w, "+".join(c), n) for w, n in zip(b["w"], b["n"]) for s, c in forms(w).items()]
             yield pd.DataFrame(rows, columns=["w", "original", "chain", "m"])
 
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            # A form that is written as clean words are needs an original of two texts, without rare Chinese characters.
+            keep = [not is_clean(w) or m > 1 and not ("㐀" <= max(o) <= "鿿" and rare(o)) for w, o, m in zip(b["w"], b["original"], b["m"])]
+            yield b.loc[keep, ["w", "original", "chain"]]
+
     def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(w, core, o, "+".join(c)) for w in b["w"] for core, o, c in origins(w)]
             yield pd.DataFrame(rows, columns=["w", "core", "original", "chain"])
 
-    seen = staged(results.select(F.col(key).alias("k"), F.col("markdown").alias("m"), F.col("metadata").alias("j")).mapInPandas(scan, f"k {kind}, field string, w string, n bigint"), "tokens")
+    seen = staged(spread(delivered(results, key)).mapInPandas(scan, f"k {kind}, field string, w string, n bigint"), "tokens")
     every = seen.where("n > 0").groupBy("w").agg(F.sum("n").alias("n"))
-    words = every.where(f"n >= {least}")
-    whole = seen.where("n = 0").select("w").distinct().mapInPandas(back, "w string, core string, original string, chain string")
+    odd = seen.where("n = 0").select("k", "field", "w").distinct()
+    whole = odd.select("w").distinct().mapInPandas(back, "w string, core string, original string, chain string")
     whole = whole.join(every.select(F.col("w").alias("core"), F.col("n").alias("m")), "core").select("w", "original", "chain", "m")
-    made = words.mapInPandas(table, "w string, original string, chain string, m bigint").unionByName(whole).groupBy("w").agg(F.max(F.struct("m", "original", "chain")).alias("best"))
+    made = every.mapInPandas(table, "w string, original string, chain string, m bigint").unionByName(whole).groupBy("w").agg(F.max(F.struct("m", "original", "chain")).alias("best"))
     # A form that is itself a clean word as common as its original is no evidence.
-    made = made.join(words, "w", "left").where("n IS NULL OR n * 4 < best.m").select("w", "best.original", "best.chain")
-    odd = seen.where("n = 0").select("k", "field", "w").distinct()
-    found = odd.join(made, "w", "left").where(F.col("original").isNotNull() | F.col("w").contains(LOST))
-    return found.select(F.col("k").alias(key), "field", F.col("w").alias("token"), "original", "chain")
+    made = made.join(every, "w", "left").where("n IS NULL OR n * 4 < best.m").select("w", "best.*")
+    made = made.join(odd.select("w").distinct(), "w", "left_semi").mapInPandas(judge, "w string, original string, chain string")
+    lost = odd.where(F.col("w").contains(LOST)).select("k", "field", "w", F.lit(None).cast("string").alias("original"), F.lit(None).cast("string").alias("chain"))
+    return matched(odd, made).unionByName(lost).select(F.col("k").alias(key), "field", F.col("w").alias("token"), "original", "chain")
 
 
 def restore(text: str, hits: list[tuple[str, str | None, str | None]]) -> str:
@@ -392,7 +416,7 @@ def restored(results: DataFrame, key: str = "result_id") -> DataFrame:
     """(key, field, restored, n_tokens, complete): the affected fields, named, with their text as far as it can be had back. For
     metadata the restored text is that of its values, one a line. Rows of one key come out once; null and empty fields never."""
     hits = evidence(results, key).groupBy(key, "field").agg(F.collect_list(F.struct("token", "original", "chain")).alias("hits"))
-    rows = results.select(key, "markdown", "metadata").dropDuplicates([key]).join(hits, key)
+    rows = delivered(results, key).select(F.col("k").alias(key), F.col("m").alias("markdown"), F.col("j").alias("metadata")).join(hits, key)
     kind = results.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -400,7 +424,7 @@ def restored(results: DataFrame, key: str = "result_id") -> DataFrame:
             out = []
             for k, m, j, field, h in zip(b[key], b["markdown"], b["metadata"], b["field"], b["hits"]):
                 t = restore(dict(field_texts(m, j))[field], [(x["token"], x["original"], x["chain"]) for x in h])
-                out.append((k, field, t, len(h), LOST not in t))
+                out.append((k, field, t, len({x["token"] for x in h}), LOST not in t))
             yield pd.DataFrame(out, columns=[key, "field", "restored", "n_tokens", "complete"])
 
     return rows.mapInPandas(run, f"{key} {kind}, field string, restored string, n_tokens int, complete boolean")

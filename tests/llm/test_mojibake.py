@@ -53,3 +53,22 @@ def test_words_in_quotes_and_rare_words(spark):
     assert {r.result_id for r in G.affected(df).collect()} == {10, 11, 12, 13}
     got = {r.result_id: r.restored for r in G.restored(df).collect()}
     assert got[10] == "It is 5 °C in “Harnimko” now" and got[13] == "It is 5 °C in значимость now"
+
+
+def test_long_and_rare_and_twice_wrong(spark):
+    """The original occurs once, and its form has 200 characters and more."""
+    word = "überaus" + "schönfließend" * 14
+    twice = lambda t: garbled(garbled(t, "utf-8", "latin-1"), "utf-8", "latin-1")
+    rows = [(1, f"Das Wort {word} steht hier.", None), (2, "значимость величины, 检验报告", None)]
+    rows += [(10, garbled(word, "utf-8", "cp1252"), None), (11, twice("значимость"), None), (12, twice("检验报告"), None), (13, "Das Wort", None)]
+    df = spark.createDataFrame(rows, "result_id long, markdown string, metadata string")
+    assert len(rows[2][1]) > 200 and {r.result_id for r in G.affected(df).collect()} == {10, 11, 12}
+    got = {r.result_id: r.restored for r in G.restored(df).collect()}
+    assert got[10] == word and got[11] == "значимость" and got[12] == "检验报告"
+
+
+def test_token_of_most_texts(spark, monkeypatch):
+    monkeypatch.setattr(G, "HEAVY", 3)
+    rows = [(k, "l’été Ã©tÃ©", None) for k in range(90)] + [(100, "été", None), (101, "SÃ£o", None), (102, "São", None)]
+    df = spark.createDataFrame(rows, "result_id long, markdown string, metadata string")
+    assert {r.result_id for r in G.affected(df).collect()} == {*range(90), 101}
