@@ -1,10 +1,11 @@
 """The main body of web pages without the site's frame (problem 6).
 
-Method: tree scoring. A page is a tree: its part before the title and the part under it, blocks of neighbouring lines in
-each, and lines. Lines that read as text pass points for length and commas to their block, and half of them on to the part;
-points are discounted by link density and by what marks a line as furniture. The part with the best score is the container;
-of its children those with points of their own stay, and siblings that carry none (headings, tables, code, lists of
-files) stay unless they belong to a list of other pages.
+Method: tree scoring. A page is a tree of sections by heading level, with what stands above the title as a section beside it; of
+blocks of neighbouring lines in each, and of lines. Lines that read as text pass points for length and commas, discounted by
+link density, to their block; a block passes its points to its section, half of them on to the section around it, and so on up.
+The top section with the best score is the container, and its siblings go unless their score comes near. Of the blocks
+left those with points of their own stay, and those that carry none (headings, tables, code, lists of files) stay unless they
+belong to a list of other pages. No words or phrases are looked for.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)[^)]*\)")
 BULLET = re.compile(r"(?:[-*+]|\d+[.)])[ \t]+")
 FENCE = re.compile(r"(```|~~~)")
@@ -26,22 +29,12 @@ BOLD = re.compile(r"\*\*[^*]{1,60}\*\*$")
 HEADING = re.compile(r"#{1,6}\s")
 FIGURE = re.compile(r"[:：]\s*[\d.,]+\s*\S{0,3}$")
 RELEASE = re.compile(r"(?:\w+\.?\s?\d+|v\d+)\s*[-–—/(].{0,30}$")
-# Words of the frame that stand in sentences or with figures; fixed by how sites in these languages word them.
-FURNITURE = re.compile(
-    r"©|\bcookies?\b.*\b(?:accept|visit|setting|traffic|improve|verbessern|améliorer|mejorar|melhorar)|Alle Rechte vorbehalten|All rights reserved|Tous droits réservés|derechos reservados"
-    r"|direitos reservados|版权所有|备案号|技术支持[:：]|^Registered office|^Customer line|^Powered by|^Registernummer|^Registro [A-Z]-|^N° [A-Z]-|^地址[:：]|^客服|隐私.*(?:允许|接受|统计)|浏览器?信息|存储少量数据"
-    r"|\b(?:newsletter|boletín|boletim)\b|lettre d.information|有帮助吗|\bhelpful\?|\bhilfreich\?|vous a-t-elle aidé|servido esta página|\btraceurs\b|keep data on (?:this|your) browser|datos en su navegador"
-    r"|Privatsphäre ist|Votre vie privée|Su privacidad|Your privacy matters|stores small files on your device|speichert kleine Dateien",
-    re.I,
-)
-
-
 def points(line: str) -> float:
     """A line's points as text: none for what is short and ends without a stop, or is mostly links or bars."""
     links = LINK.findall(line) if "](" in line else ()
     bare = LINK.sub(lambda m: m[1], line) if links else line
     weight = (len(bare) + len(bare.encode("utf-8", "replace"))) // 2  # a Chinese character counts as two
-    if weight < 160 and FURNITURE.search(bare):
+    if weight < 160 and "©" in bare:
         return 0.0
     if not (weight >= 56 or weight >= 20 and END.search(bare)):
         return 0.0
@@ -101,16 +94,49 @@ def kind_of(x: str) -> str:
     return "list" if BULLET.match(x) else "text"
 
 
+SIBLING = 2.0  # times the container's score, that the part above the title must have to stay
+
+
+class Section:
+    """A heading's section; points include halves of those of the sections in it."""
+
+    def __init__(self, level: int, around: "Section | None" = None):
+        self.level, self.around, self.points = level, around, 0.0
+
+    def take(self, points: float) -> None:
+        at: Section | None = self
+        while at is not None and points:
+            at.points += points
+            at, points = at.around, points / 2
+
+
+def sections(parts: list[Block]) -> tuple[Section, Section]:
+    """The section above the title and the one of the title, with the points of all blocks."""
+    above, titled = Section(1), Section(1)
+    at, begun = above, False
+    for b in parts:
+        if b.kind == "heading":
+            level = len(b.items[0]) - len(b.items[0].lstrip("#"))
+            if level == 1:
+                at, begun = titled, True
+            elif begun:
+                while at.around is not None and at.level >= level:
+                    at = at.around
+                at = Section(level, at)
+        at.take(b.points)
+    return above, titled
+
+
 def frame_lines(markdown: str) -> list[int]:
     """Numbers, from 1, of the lines that are no part of the page's own content. Blank lines are never among them."""
     lines = markdown.split("\n")
     title = next((k for k, x in enumerate(lines) if x.startswith("# ")), None)
     drop: set[int] = set()
     if title is not None:
-        above, below = blocks(lines, 0), []
-        above, below = [b for b in above if b.first < title], [b for b in above if b.first >= title]
-        # The two parts' scores are half of what their blocks pass on; the better one is the container.
-        if sum(b.points for b in above) <= 2 * sum(b.points for b in below) + 1:
+        parts = blocks(lines, 0)
+        above, below = [b for b in parts if b.first < title], [b for b in parts if b.first >= title]
+        beside, container = sections(parts)
+        if beside.points <= SIBLING * container.points + 1:
             drop |= {b.first + i for b in above for i in range(len(b.lines))}
         else:
             below = above + below
@@ -139,7 +165,7 @@ def frame_lines(markdown: str) -> list[int]:
         elif len(b.items) == 1:
             x = b.items[0]
             opening = before is not None and before.first == title
-            keep = b.points > 0 or bool(LABEL.match(x)) or bool(FIGURE.search(x) and not FURNITURE.search(x)) or opening and bool(RELEASE.match(x)) or x.startswith(">") or bool(re.fullmatch(r"[-*_=—─]{3,}", x))
+            keep = b.points > 0 or bool(LABEL.match(x)) or bool(FIGURE.search(x)) or opening and bool(RELEASE.match(x)) or x.startswith(">") or bool(re.fullmatch(r"[-*_=—─]{3,}", x))
         else:
             texts = sum(1 for x in b.items if points(x) > 0)
             keep = 2 * texts > len(b.items) or any(LABEL.match(x) for x in b.items[:1])
@@ -152,7 +178,8 @@ def frame_lines(markdown: str) -> list[int]:
 
 def main_content(df: DataFrame, key: str = "result_id", text: str = "markdown") -> DataFrame:
     """(key, main STRING, dropped ARRAY<INT>) of each row: the text without its frame and the numbers of the lines taken out.
-    Null gives null and no numbers. Runs of blank lines left behind become one. One pass without a shuffle."""
+    Null gives null and no numbers. Runs of blank lines left behind become one. One pass, without a shuffle but
+    of an input with fewer partitions than cores."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -167,7 +194,7 @@ def main_content(df: DataFrame, key: str = "result_id", text: str = "markdown")
             yield pd.DataFrame({"k": b["k"], "main": main, "dropped": dropped})
 
     kind = df.schema[key].dataType.simpleString()
-    done = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, main string, dropped array<int>")
+    done = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInPandas(run, f"k {kind}, main string, dropped array<int>")
     return done.withColumnRenamed("k", key)
 
 
