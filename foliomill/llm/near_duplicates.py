@@ -154,7 +154,7 @@ def tiles(rows: DataFrame, percent: int) -> DataFrame:
     """
     step = f"(ln(100 / {percent}D) + 1e-6)"
     buckets = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    met = rows.join(buckets.hint("merge"), "key")
+    met = staged(rows.join(buckets.hint("merge"), "key"), "met")  # read three times below
     small = met.where(f"c <= {TILE}").select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("tile"), "h", "n")
     large = met.where(f"c > {TILE}").withColumn("z", F.expr(f"cast(floor(ln(n) / {step}) as int)"))
     parts = large.groupBy("key", "z").agg(F.expr(f"cast(ceil(count(*) / {TILE}D) as int)").alias("t"))
@@ -235,11 +235,12 @@ def links(df: DataFrame, key: str = "result_id", text: str = "markdown", percent
     near = staged(near.mapInPandas(bounded(percent), "a bigint, b bigint"), "near")
     own = sets.groupBy("h").agg(F.min(F.struct("k", "x")).alias("one"), F.first("n").alias("n"))
     pairs_ = blocks(near, own.select("h", "n"))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(own.hint("merge"), "h").select("h", "one.k", "one.x")
-    texts = df.select(F.col(key).alias("k"), F.xxhash64(text).alias("x"), F.col(text).alias("t")).join(wanted.hint("merge"), ["k", "x"]).groupBy("h").agg(F.first("t").alias("t"))
-    held = pairs_.select("block", "i", "j", F.explode(F.array("a", "b")).alias("h")).distinct().join(texts.hint("merge"), "h")
-    both = held.select("block", "i", "j", "h", "t", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("kind")).unionByName(
-        pairs_.select("block", "i", "j", F.lit(0).cast("long").alias("h"), F.lit(None).cast("string").alias("t"), "a", "b", F.lit(1).alias("kind")))
+    held = pairs_.select("block", "i", "j", F.explode(F.array("a", "b")).alias("h")).distinct().join(own.hint("merge"), "h").select("block", "i", "j", "h", "one.k", "one.x")
+    texts = df.select(F.col(key).alias("k"), F.xxhash64(text).alias("x"), F.col(text).alias("t")).groupBy("k", "x").agg(F.first("t").alias("t"))
+    held = texts.join(held.hint("merge"), ["k", "x"])
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    both = held.select("block", "i", "j", "h", "t", zero.alias("a"), zero.alias("b"), F.lit(0).alias("kind"))
+    both = both.unionByName(pairs_.select("block", "i", "j", zero.alias("h"), none.alias("t"), "a", "b", F.lit(1).alias("kind")))
     return members, both.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "kind").drop("kind").mapInPandas(verified(percent), "a bigint, b bigint")
 
 
