@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread, staged
+from ..session import staged
 from .lookalikes import skeleton
 
 SINGLE = ("latin-1", "cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "cp866", "cp1250", "iso8859-2", "iso8859-15", "cp1253", "cp1254")
@@ -109,26 +109,26 @@ def words_in(token: str) -> Iterator[str]:
             yield from (s[k : k + 2] for k in range(len(s) - 1))
 
 
-def odd_tokens(token: str) -> Iterator[str]:
+def odd_tokens(token: str) -> Iterator[tuple[str, bool]]:
     """What a token that is not clean is looked up by: itself, its stretches beyond ASCII, and pieces of these as long as the
-    forms of two Chinese characters, wrong once or twice."""
-    yield token
+    forms of two Chinese characters, wrong once or twice. True for all but the pieces, which may be words as a whole."""
+    yield token, True
     for m in FOUNDER.finditer(token):
-        yield m[0]
+        yield m[0], True
     for m in WIDE.finditer(token):
         s = m[0]
         if s != token and CYRILLIC_OR_GREEK.fullmatch(s):  # look-alike letters within a word
             continue
         if len(s) >= 2 and s != token:
-            yield s
+            yield s, True
         for width in (2, 3, 4, 6, 12):
             for shift in (0, 1) if width < 4 else (0,):
                 for k in range(shift, len(s) - width + 1, width):
-                    yield s[k : k + width]
+                    yield s[k : k + width], False
     if not token.isascii():
         core = token.strip("“”‘’„«»–—…·")
         if core != token and len(core) >= 2:
-            yield core
+            yield core, True
 
 
 def decode(raw: bytes, name: str) -> str:
@@ -281,17 +281,17 @@ def plain_han() -> re.Pattern:
 
 
 @lru_cache(maxsize=100_000)
-def judged(token: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+def judged(token: str) -> tuple[tuple[str, ...], tuple[tuple[str, bool], ...]]:
     if is_clean(token):
-        odd = (token,) if len(token) >= 3 and token.isupper() and "\u0400" <= token[0] <= "\u04ff" else ()
+        odd = ((token, True),) if len(token) >= 3 and token.isupper() and "\u0400" <= token[0] <= "\u04ff" else ()
         return tuple(words_in(token)), odd
     return (), tuple(odd_tokens(token))
 
 
-def scanned(text: str) -> tuple[set[str], set[str]]:
-    """(clean words, odd tokens) of a text."""
+def scanned(text: str) -> tuple[set[str], dict[str, bool]]:
+    """(clean words, odd tokens) of a text; true for odd tokens that may be words as a whole."""
     clean: set[str] = set()
-    odd: set[str] = set()
+    odd: dict[str, bool] = {}
     han, simple = [], plain_han().fullmatch
     for token in set(RUN.findall(text)):
         if token.isascii():
@@ -302,7 +302,8 @@ def scanned(text: str) -> tuple[set[str], set[str]]:
         else:
             words, odds = judged(token) if len(token) <= 24 else judged.__wrapped__(token)
             clean.update(words)
-            odd.update(odds)
+            for x, whole in odds:
+                odd[x] = whole or odd.get(x, False)
     if han:
         x = "\n".join(han)
         common = common_han()
@@ -347,7 +348,7 @@ def evidence(results: DataFrame, key: str = "result_id") -> DataFrame:
                         continue
                     clean, odd = scanned(t)
                     n.update(clean)
-                    rows += [(k, field, x, 0) for x in odd]
+                    rows += [(k, field, x, -1 if whole else 0) for x, whole in odd.items()]
                     if LOST in t and not any(LOST in x for x in odd):
                         rows.append((k, field, LOST, 0))
             yield pd.DataFrame(rows + [(None, None, w, c) for w, c in n.items()], columns=["k", "field", "w", "n"])
@@ -368,10 +369,10 @@ def evidence(results: DataFrame, key: str = "result_id") -> DataFrame:
             rows = [(w, core, o, "+".join(c)) for w in b["w"] for core, o, c in origins(w)]
             yield pd.DataFrame(rows, columns=["w", "core", "original", "chain"])
 
-    seen = staged(spread(delivered(results, key)).mapInPandas(scan, f"k {kind}, field string, w string, n bigint"), "tokens")
+    seen = staged(delivered(results, key).mapInPandas(scan, f"k {kind}, field string, w string, n bigint"), "tokens")
     every = seen.where("n > 0").groupBy("w").agg(F.sum("n").alias("n"))
-    odd = seen.where("n = 0").select("k", "field", "w").distinct()
-    whole = odd.select("w").distinct().mapInPandas(back, "w string, core string, original string, chain string")
+    odd = seen.where("n <= 0").select("k", "field", "w")
+    whole = seen.where("n < 0").select("w").distinct().mapInPandas(back, "w string, core string, original string, chain string")
     whole = whole.join(every.select(F.col("w").alias("core"), F.col("n").alias("m")), "core").select("w", "original", "chain", "m")
     made = every.mapInPandas(table, "w string, original string, chain string, m bigint").unionByName(whole).groupBy("w").agg(F.max(F.struct("m", "original", "chain")).alias("best"))
     # A form that is itself a clean word as common as its original is no evidence.
