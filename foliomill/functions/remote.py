@@ -24,7 +24,7 @@ def fetchable(url: Column) -> Column:
 
 def public_host(resolve: Callable[[str], list[str]] | None = None):
     """A column function: whether a web address's host is public, that is all its addresses are global. Without resolve only
-    hosts that are addresses themselves, and localhost, can be judged; other names then count as public."""
+    hosts that are addresses themselves, and localhost, can be judged; other names then do not count as public."""
 
     def ok(url: str | None) -> bool:
         from urllib.parse import urlsplit
@@ -41,7 +41,7 @@ def public_host(resolve: Callable[[str], list[str]] | None = None):
         except ValueError:
             pass
         if resolve is None:
-            return True
+            return False
         try:
             found = resolve(host)
         except OSError:

@@ -720,7 +720,7 @@ def embedded_media(s, d):
 def public_addresses(s, d):
     from ..functions.remote import public_host
 
-    judge = public_host()
+    judge = public_host(lambda host: ["8.8.8.8"])  # every name resolves to a public address here
     return sources(s, d).select("source_id", judge("source_path").alias("web"), judge(F.concat(F.lit("http://10.0."), F.col("source_id") % 250, F.lit(".1/x"))).alias("inside"))
 
 

@@ -24,7 +24,9 @@ def _stem(path: str) -> tuple[str, str]:
 
 
 def documents(df: DataFrame, with_media: bool = True) -> DataFrame:
-    """(path, format, markdown, media ARRAY<STRUCT<original, kind, name>>, error) of Word files, decks and pages."""
+    """(path, format, markdown, media ARRAY<STRUCT<original, kind, name>>, error) of Word files, decks and pages. A file of another
+    kind, whatever it holds, gives an error and no Markdown."""
+    pages = set(FILE_TYPES["html"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from ..formats.docx import Document
@@ -43,6 +45,8 @@ def documents(df: DataFrame, with_media: bool = True) -> DataFrame:
                     elif kind == "pptx":
                         d = Deck(raw, stem, with_media)
                         md, media = d.markdown(name), d.media
+                    elif kind not in pages:
+                        raise ValueError(f"no decoder for .{kind} files")
                     else:
                         md, media = convert(decoded(raw), with_media), []
                     rows.append((path, kind, md, [dict(zip(("original", "kind", "name"), m)) for m in media], None))
@@ -88,15 +92,46 @@ def workbook_anchors(df: DataFrame) -> DataFrame:
     return _parts(df, "doc string, sheet string, row int, col int, path string", lambda x, z: x.anchors(z)).withColumn("kind", F.lit("image"))
 
 
+def workbook_media(df: DataFrame) -> DataFrame:
+    """(doc, path) of all media in the archives, on a sheet or not."""
+    return _parts(df, "doc string, path string", lambda x, z: [(n,) for n in z.namelist() if n.startswith("xl/media/") and not n.endswith("/")])
+
+
+def workbook_errors(df: DataFrame) -> DataFrame:
+    """(path, error) of the files that are no readable workbooks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..formats import xlsx
+
+        for b in batches:
+            rows = []
+            for path, raw in zip(b["path"], b["content"]):
+                try:
+                    z = xlsx.opened(raw)
+                    for read in (xlsx.sheets, xlsx.strings, xlsx.cells, xlsx.anchors):
+                        for _ in read(z):
+                            pass
+                except Exception as e:
+                    rows.append((path, f"{type(e).__name__}: {e}"[:500]))
+            yield pd.DataFrame(rows, columns=["path", "error"])
+
+    return df.select("path", "content").mapInPandas(run, "path string, error string")
+
+
 def workbooks(df: DataFrame, max_rows: int = 100, max_cols: int = 50) -> DataFrame:
-    """(path, markdown, warnings) of workbooks: parsed in Python, assembled by joins and aggregates."""
+    """(path, markdown, warnings, error) of every file: parsed in Python, assembled by joins and aggregates. Media that no cell
+    holds follow the last sheet. A file that cannot be read has an error and no Markdown, one without content neither."""
     from ..operators import sheets
 
     cells = sheets.resolved(workbook_cells(df), workbook_strings(df))
-    cells = sheets.anchored(cells.select("doc", "sheet", "row", "col", "text"), workbook_anchors(df))
+    anchors = workbook_anchors(df)
+    cells = sheets.anchored(cells.select("doc", "sheet", "row", "col", "text"), anchors)
     tables = sheets.sheet_tables(cells, max_rows, max_cols)
     warned = tables.groupBy("doc").agg(F.array_sort(F.collect_list(F.when(F.col("rows_cut") | F.col("cols_cut"), F.concat(F.col("sheet"), F.lit(": 已截断"))))).alias("warnings"))
-    return sheets.workbook(tables, workbook_sheets(df)).join(warned, "doc").select(F.col("doc").alias("path"), "markdown", "warnings")
+    rest = sheets.unanchored(workbook_media(df), anchors)
+    read = sheets.workbook(tables, workbook_sheets(df), rest).join(warned, "doc").select(F.col("doc").alias("path"), "markdown", "warnings")
+    failed = workbook_errors(df)
+    return df.select("path").distinct().join(failed, "path", "left").join(read, "path", "left").select("path", F.when(F.col("error").isNull(), F.col("markdown")).alias("markdown"), "warnings", "error")
 
 
 def ocr_lines(lines: DataFrame, key: str = "job_id", order: str = "line_no", text: str = "line") -> DataFrame:

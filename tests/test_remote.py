@@ -13,6 +13,8 @@ def test_public_hosts(spark):
     judge = remote.public_host(lambda h: ["10.1.1.1"] if h.startswith("inside") else ["8.8.4.4"])
     assert [r[0] for r in df.select(judge(F.col("u"))).collect()] == [False, False, False, False, True, False, True, False, False, False]
 
+    assert not any(r[0] for r in df.where("u LIKE '%example%'").select(remote.public_host()(F.col("u"))).collect())  # no resolver, no trust
+
 
 def test_embedded(spark):
     png, icon, big = (base64.b64encode(x).decode() for x in (b"p", b"<svg/>", b"<svg>" + b" " * 11000))
