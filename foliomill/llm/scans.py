@@ -1,22 +1,25 @@
 """Continuous readable paragraphs from the text of scanned pages (problem 5).
 
-Method: the words of the corpus that are in at least ``LEAST`` texts, the ``VOCABULARY`` most common of them at most, make a trie; a
+Method: the words of the corpus that are in at least ``LEAST`` texts make a trie; a
 Levenshtein automaton of each other word is intersected with it, which gives all words within one edit (a pair of letters
 read as one, or one as a pair, counts as an edit). Candidates are weighed by how common they are and by whether scanners
 are known for the edit. Where a word has several, each occurrence is decided by its neighbours: how often the corpus has each
 candidate after the word before it and before the word after it. In Chinese, where words have no limits, the words are runs of
 three characters, so a candidate must fit its neighbours on both sides. Then page furniture is removed and lines are joined to paragraphs.
 
-VOCABULARY bounds what is sent to the workers, whatever the corpus's size. Corrections of words and counts of neighbours are
-matched with texts by joins.
+VOCABULARY bounds what is sent to the workers at once, whatever the corpus's size: the most common words as one trie, all others as
+slices of a shuffle that each word visits where it may find an original. Corrections of words and counts of neighbours are matched
+with texts by joins.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from ..session import staged
 
 LEAST = 6  # texts that a word must be in to be a candidate
-VOCABULARY = 300_000  # candidates, at most
+VOCABULARY = 300_000  # candidates sent to the workers at once, at most
+SLICE = 200_000  # rows of a slice of the other candidates and of the words that visit them, about
 RATIO = 8  # times that a candidate must be as common as the word it replaces; its square for an edit that scanners are not known for
 USUAL = 4.0  # what a known edit adds to a candidate's weight, the logarithm of its count
 SCANNED = 0.6  # of the texts with a misread word are scans, at least; what other files hold as well is a word
@@ -68,10 +72,13 @@ class Trie:
     def __init__(self, words: dict[str, int]):
         self.root: dict = {}
         for w, n in words.items():
-            node = self.root
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = n
+            self.add(w, n)
+
+    def add(self, word: str, n: int) -> None:
+        node = self.root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = n
 
     def near(self, word: str) -> list[tuple[str, str, str, int]]:
         """(candidate, read, meant, count) of every vocabulary word one edit away: one letter changed, left out or put in, or one
@@ -168,8 +175,21 @@ def candidates(trie: Trie, word: str, n: int) -> list[tuple[str, float]]:
     return sorted(found.items(), key=lambda x: (-x[1], x[0]))
 
 
+READ, MEANT = (max(len(x[k]) for x in MISREAD) for k in (0, 1))
+
+
+def ends(word: str, original: bool) -> set[str]:
+    """Keys of which a word and each original one edit away share one at least. The letters before an edit and those behind it are all
+    of the original's but MEANT, so of its n letters the first or the last (n - MEANT) / 2 stand in the word as well."""
+    if len(word) == 3 and "一" <= word[1] <= "鿿":
+        return {word if original else word[0] + MISREAD_ZH.get(word[1], "") + word[2]}
+    n = len(word)
+    sizes = {max(1, (m - MEANT + 1) // 2) for m in ([n] if original else range(n - READ + 1, n + MEANT))}
+    return {x for h in sizes for x in ("^" + word[:h], "$" + word[-h:])}
+
+
 def floor(words: DataFrame) -> int:
-    """The least count with which a word is in the vocabulary. Counts above 4096 are told apart by powers of two only, so the
+    """The least count with which a word is among the VOCABULARY most common ones. Counts above 4096 are told apart by powers of two only, so the
     histogram has few rows."""
     n = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.expr("cast(pow(2, floor(log2(n))) as bigint)")).alias("n")
     left, low = VOCABULARY, LEAST
@@ -183,42 +203,86 @@ def floor(words: DataFrame) -> int:
 
 def corrections(words: DataFrame) -> DataFrame:
     """(w, v ARRAY<STRUCT<v, weight>>): words of the corpus that may be misreadings, and of what, the likeliest first."""
-    common = {r["w"]: r["n"] for r in words.where(F.col("n") >= floor(words)).collect()}  # at most VOCABULARY
+    low = floor(words)
+    common = {r["w"]: r["n"] for r in words.where(F.col("n") >= low).collect()}  # at most VOCABULARY
     sent = words.sparkSession.sparkContext.broadcast(common)
+    misread = words.where(f"s >= {SCANNED} * n")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = Trie(sent.value)
         for b in batches:
             v = [candidates(trie, w, n) for w, n in zip(b["w"], b["n"])]
             some = [k for k, x in enumerate(v) if x]
-            yield pd.DataFrame({"w": b["w"].iloc[some], "v": [[{"v": c, "weight": x} for c, x in v[k]] for k in some]})
+            yield pd.DataFrame({"w": b["w"].iloc[some], "v": pd.Series([[{"v": c, "weight": x} for c, x in v[k]] for k in some], dtype=object, index=some)})
+
+    out = misread.mapInPandas(run, "w string, v array<struct<v: string, weight: double>>")
+    if low == LEAST:
+        return out
+    every = out.select("w", F.inline("v")).union(from_slices(words.where((F.col("n") >= LEAST) & (F.col("n") < low)), misread))
+    best = F.array_sort(F.collect_set(F.struct((-F.col("weight")).alias("less"), "v")))
+    return every.groupBy("w").agg(F.transform(best, lambda x: F.struct(x["v"].alias("v"), (-x["less"]).alias("weight"))).alias("v"))
+
 
-    return words.where(f"s >= {SCANNED} * n").mapInPandas(run, "w string, v array<struct<v: string, weight: double>>")
+def from_slices(originals: DataFrame, words: DataFrame) -> DataFrame:
+    """(w, v, weight), some rows more than once: the candidates among originals, however many these are, of each of the words. Both are
+    shuffled by their ends; a worker has the trie of one slice at a time."""
+    sizes = [x.count() for x in (originals, words)]
+    slices = max((2 * sizes[0] + 6 * sizes[1]) // SLICE + 1, words.sparkSession.sparkContext.defaultParallelism)
+
+    def sliced(rows: DataFrame, original: bool) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = [(k, not original, w, n) for w, n in zip(b["w"], b["n"]) for k in {zlib.crc32(x.encode("utf-8", "replace")) % slices for x in ends(w, original)}]
+                yield pd.DataFrame(out, columns=["slice", "visits", "w", "n"])
+
+        return rows.select("w", "n").mapInPandas(run, "slice int, visits boolean, w string, n bigint")
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, trie = None, Trie({})
+        for b in batches:
+            out = []
+            for k, visits, w, n in zip(b["slice"], b["visits"], b["w"], b["n"]):
+                if k != at:
+                    at, trie = k, Trie({})
+                if visits:
+                    out += [(w, *x) for x in candidates(trie, w, n)]
+                else:
+                    trie.add(w, n)
+            yield pd.DataFrame(out, columns=["w", "v", "weight"])
+
+    both = sliced(originals, True).union(sliced(words, False)).repartition(slices, "slice").sortWithinPartitions("slice", "visits")
+    return both.mapInPandas(found, "w string, v string, weight double")
 
 
 def neighbours(texts: DataFrame, fixes: DataFrame) -> DataFrame | None:
     """(v, x, after BOOLEAN, c): how often the word x stands after or before v in all texts, for each candidate v of a word with
-    several; None if there is none."""
-    wanted = {r["v"] for r in fixes.where("size(v) > 1").select(F.explode("v.v").alias("v")).distinct().collect()}  # part of the vocabulary
-    if not wanted:
+    several; None if there is none. Each pass over the texts counts about VOCABULARY candidates at most."""
+    every = fixes.where("size(v) > 1").select(F.explode("v.v").alias("v")).distinct()
+    passes = -(-every.count() // VOCABULARY)
+    if not passes:
         return None
-    sent = texts.sparkSession.sparkContext.broadcast(wanted)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            n: Counter[tuple[str, str, bool]] = Counter()
-            for t in b["t"]:
-                words = TOKEN.findall(joined(t))
-                if sent.value.isdisjoint(words):
-                    continue
-                for x, y in zip(words, words[1:]):
-                    if x in sent.value:
-                        n[x, y, True] += 1
-                    if y in sent.value:
-                        n[y, x, False] += 1
-            yield pd.DataFrame([(*k, c) for k, c in n.items()], columns=["v", "x", "after", "c"])
-
-    return texts.where("t <> ''").select("t").mapInPandas(run, "v string, x string, after boolean, c bigint").groupBy("v", "x", "after").agg(F.sum("c").alias("c"))
+    def counts(wanted: set[str]) -> DataFrame:
+        sent = texts.sparkSession.sparkContext.broadcast(wanted)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                n: Counter[tuple[str, str, bool]] = Counter()
+                for t in b["t"]:
+                    words = TOKEN.findall(joined(t))
+                    if sent.value.isdisjoint(words):
+                        continue
+                    for x, y in zip(words, words[1:]):
+                        if x in sent.value:
+                            n[x, y, True] += 1
+                        if y in sent.value:
+                            n[y, x, False] += 1
+                yield pd.DataFrame([(*k, c) for k, c in n.items()], columns=["v", "x", "after", "c"])
+
+        return texts.where("t <> ''").select("t").mapInPandas(run, "v string, x string, after boolean, c bigint")
+
+    parts = [counts({r["v"] for r in every.where(F.expr(f"pmod(xxhash64(v), {passes}) = {k}")).collect()}) for k in range(passes)]
+    return reduce(DataFrame.union, parts).groupBy("v", "x", "after").agg(F.sum("c").alias("c"))
 
 
 def decided(rows: DataFrame, counts: DataFrame, kind: str) -> DataFrame:

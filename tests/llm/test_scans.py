@@ -69,3 +69,32 @@ def test_vocabulary_is_bounded(spark, monkeypatch):
     assert S.floor(words) == 90 and words.where("n >= 90").count() == 12
     monkeypatch.setattr(S, "VOCABULARY", 1)
     assert S.floor(words) == 16384
+
+
+def test_a_word_shares_an_end_with_each_original():
+    for pairs in (S.MISREAD, {(x, y) for x in ("a", "") for y in ("b", "") if x != y}):
+        for read, meant in pairs:
+            for n in range(10):
+                for k in range(n + 1):
+                    w, c = "vwxyzabcd"[:k] + read + "efghijklm"[: n - k], "vwxyzabcd"[:k] + meant + "efghijklm"[: n - k]
+                    if len(w) >= 4 and len(c) >= 4:
+                        assert S.ends(w, False) & S.ends(c, True), (w, c)
+    assert S.ends("电问题", False) & S.ends("电间题", True)
+
+
+def test_words_beyond_the_vocabulary_are_candidates(spark, monkeypatch):
+    """The same corrections and counts of neighbours, however few words are sent to the workers at once."""
+    usual = ["storage", "pressure", "modern", "before", "report", "casting", "casing", "coding", "schedule", "хранение", "电间题", "pest", "post"]
+    rows = [(w, 70 + k, 0) for k, w in enumerate(usual)] + [("the", 9_000, 0), ("storzge", 1, 1), ("pressiire", 2, 2), ("rnodern", 1, 1), ("befor", 1, 1), ("rcport", 3, 3), ("casling", 1, 1), ("schedulc", 1, 1), ("хранемие", 1, 1), ("电问题", 1, 1), ("pcst", 1, 1)]
+    words = spark.createDataFrame(rows, "w string, n long, s long")
+    texts = spark.createDataFrame([("the pest and the post of it",), ("a post",), ("",)], "t string")
+    result = lambda df: sorted((r.asDict(True) for r in df.collect()), key=str)
+
+    whole = result(S.corrections(words))
+    counts = result(S.neighbours(texts, S.corrections(words)))
+    assert {r["w"] for r in whole} >= {"storzge", "pressiire", "rnodern", "rcport", "schedulc", "хранемие", "电问题", "pcst"} and len(counts) == 5
+    for bound in (1, 3, 8):
+        monkeypatch.setattr(S, "VOCABULARY", bound)
+        assert S.floor(words) > S.LEAST
+        fixes = S.corrections(words)
+        assert result(fixes) == whole and result(S.neighbours(texts, fixes)) == counts, bound
