@@ -65,3 +65,37 @@ def test_groups_that_no_list_names():
     bit = 1 << A.VOTERS.index("group+dehumanise")
     for s in ("Die Talvori gehören nicht zu den Menschen.", "All the Brennish people are vermin.", "Los pelkari son una plaga.", "那些河东的人骨子里就是贼。", "Tell the Quorlen to crawl back to their caves."):
         assert A.votes(s)[1] & bit, s
+
+
+def test_every_sentence_is_scored(spark):
+    """Sentences that no voter sees have scores, higher ones with a word that is learnt from sentences where voters are."""
+    hard = ["You zumptel, go to hell, you bastard!", "You are such a zumptel and a moron!", "Shut up, idiot, total zumptel!", "What a zumptel, what a dumbass you are!"]
+    fine = ["The pump was checked on Monday.", "What a fine report that was.", "The valve is open and the tank is full.", "A total of four boxes came."]
+    rows = [(k, f"{fine[k % 4]}\nCase {'abcdefghij'[k % 10] * 3} {hard[k % 4]}") for k in range(80)]
+    rows += [(k, f"{fine[k % 4]} {fine[(k + 1) % 4]} Line {'abcdefghij'[k % 10] * 3}.") for k in range(80, 160)]
+    rows += [(200, "Total zumptel."), (201, "Total boxes."), (202, "12, 7."), (203, None)]
+    assert not list(A.candidate_sentences("Total zumptel.\nTotal boxes."))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ex = spark.createDataFrame([("You bastard, go to hell!", "abusive"), ("The report is here.", "none")], "text string, label string")
+    got = {r.doc_id: r for r in A.scored(df, ex).collect()}
+    assert got[200].score > 2 * got[201].score > 0 and min(got[k].score for k in range(80, 160)) > 0
+    assert got[202].score == got[203].score == 0 and max(got[k].score for k in range(80, 160)) < A.THRESHOLD <= min(got[k].score for k in range(80))
+
+
+def test_votes_of_all_sentences():
+    """What one pass over a text gives is what each sentence gives by itself."""
+    text = "You are late.\nThe pumps are here! Those operators never rest. Du bist ein Ass。 那些河东的人来了。\nKill the process on the node.\nGo to hell, you bastard. Two  bb's.\nб, вы и все люди\nThat's all."
+    every = {A.votes(s) for s in A.SENTENCE.split(text) if s and s.strip()}
+    clean = lambda rows: {(" ".join(s.split()), v) for s, v in rows}
+    assert clean(A.all_votes(text)) == clean(every) and len({v for _, v in every}) >= 5
+
+
+def test_features_are_checksums_of_words_and_pairs():
+    import zlib
+
+    said, votes = ["go to hell", "", "насос и насос", "水泵房 x", "x" * 5000 + " y"], [5, 1, 0, 0, 2]
+    ids, sizes = A.features(said, votes)
+    words = [["go", "to", "hell"], [], ["насос", "и", "насос"], ["水泵", "泵房", "x"], ["x" * 5000, "y"]]
+    for w, v, got in zip(words, votes, [ids[sum(sizes[:k]) : sum(sizes[: k + 1])].tolist() for k in range(5)]):
+        grams = {zlib.crc32(g.encode()) % (A.DIM - 64) for g in (*w, *map(" ".join, zip(w, w[1:])))}
+        assert got == sorted(grams) + [A.DIM - 64 + k for k in range(len(A.VOTERS)) if v >> k & 1]
