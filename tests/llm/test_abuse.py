@@ -99,3 +99,32 @@ def test_features_are_checksums_of_words_and_pairs():
     for w, v, got in zip(words, votes, [ids[sum(sizes[:k]) : sum(sizes[: k + 1])].tolist() for k in range(5)]):
         grams = {zlib.crc32(g.encode()) % (A.DIM - 64) for g in (*w, *map(" ".join, zip(w, w[1:])))}
         assert got == sorted(grams) + [A.DIM - 64 + k for k in range(len(A.VOTERS)) if v >> k & 1]
+
+
+def test_texts_together_are_as_by_themselves():
+    """Texts that are looked through at once give what each gives by itself, and votes are what each voter's whole pattern says."""
+    texts = ["You are late", "you. ", "", " ", "A b", "s", "b", "İstanbul. You bastard", "I\u0307 know. You idiot", "σας Σ", "ass\n", "\r\n\nhole! You", "f", "u c k you", "b4st4rd", "$@l@ud", "4", "4ss. The pumps are", "\0", "fuсk\0you", "傻 ", "逼", "сука", "бвг, эти насосы", "Du Idi", "ot.", "I'll​ be here?!", "ｂａｓｔａｒｄ", "The.Next.One is a process", "😀 you"]
+    apart = {(k, *x) for k, t in enumerate(texts) for x in A.all_votes(t)}
+    assert A.votes_of_texts(texts) == apart and len(apart) > len(texts)
+    assert {(t, v) for k, t, v in apart if k in (0, 7, 8, 23)} == {A.votes(x) for x in (texts[0], "İstanbul. ", "You bastard", "İ know. ", "You idiot", texts[23])}
+    names = "address hostile threat group dehumanise sexual profane demean factual".split()
+    for s in A.SENTENCE.split(" ".join(texts) + " ".join(A.INSULT.split()) + " those pumps die out. The operators only moan, they bred like rats."):
+        t, v = A.votes(s)
+        for name, p in (("strong", A.insult_pattern()[1]), *zip(names, A.patterns())):
+            assert bool(v >> A.VOTERS.index(name) & 1) == bool(p.search(t)), (name, t)
+
+
+def test_a_pass_makes_few_calls_a_sentence():
+    import sys
+
+    words = "the pump of these operators was checked and all valves are open but you know that die Anlage ist bereit".split()
+    text = "\n".join(" ".join(words[(k * j + j) % len(words)] for j in range(1, 14)) + f" {'abcdefghij'[k % 10] * 2}{chr(97 + k // 10 % 26)}{chr(97 + k // 260)}." for k in range(5000))
+    A.features(*zip(*A.all_votes(text)))
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(1) if event in ("call", "c_call") else None)
+    try:
+        rows = A.all_votes(text)
+        A.features(*zip(*rows))
+    finally:
+        sys.setprofile(None)
+    assert len(rows) > 4000 and len(calls) < 20 * len(rows), len(calls) / len(rows)
